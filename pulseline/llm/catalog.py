@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontaminate, near_dedup, quality_rules, suffix_dedup, token_counts
 
-MODULES = (near_dedup,)
+MODULES = (token_counts, quality_rules, decontaminate, near_dedup, suffix_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
