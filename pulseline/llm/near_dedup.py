@@ -7,9 +7,10 @@ minwise shingles, and two sets of similarity s share a path of length d with pro
 block, never capped. With s = 0.85, DEPTH = 4 and TREES = 24 a pair is missed with probability
 (1 - 0.85**4)**24 = 2e-8.
 
-Comparison is in two rounds. First every vertex is compared with the smallest vertex of each node that it passes
-(a star, linear in the node). Then, in nodes that still hold several components, pairs of different components are
-compared exhaustively: an estimate over the 96 minwise values drops pairs far under the threshold (at 0.85 the
+Comparison is in three rounds. First every vertex is compared with one other, the node leader (a node's smallest
+vertex) that it meets in most nodes. Then, in nodes that still hold several components, every vertex outside the
+node's least component is compared with a member of that (a star, linear in the node). At last, in leaves that still
+hold several components, pairs of different components are compared exhaustively. In each round an estimate over the 96 minwise values drops pairs far under the threshold (at 0.85 the
 cut-off of 0.70 lies four standard deviations below), and all others are confirmed on full shingle sets. Pairs
 inside one component add nothing to it and are never made, so a group of copies costs its size, not its square.
 
@@ -200,6 +201,20 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, t
     return links.select("a", "b")
 
 
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose set sizes allow the threshold and whose minwise values agree often enough."""
+    side = lambda c: reps.select(F.col("rid").alias(c), F.col("mh").alias(f"mh_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return pairs.filter(F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda same: same)) >= least * TREES * DEPTH).select("a", "b")
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of nodes that hold several components: (node, rid, n, last, comp), the least component and a member of it."""
+    named = cut(rows.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("node", "rid", "n", "last", F.coalesce("root", "rid").alias("comp")), "near-named")
+    several = named.groupBy("node").agg(F.min("comp").alias("main"), F.max("comp").alias("top"), F.min(F.struct("comp", "rid")).alias("_m")).filter("main <> top")
+    return named.join(several.select("node", "main", F.col("_m.rid").alias("member")), "node")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = LEAF) -> DataFrame:
     """(doc_id, tkey, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
@@ -208,36 +223,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = LEAF) -> Dat
     reps = cut(one.withColumn("rid", F.monotonically_increasing_id()), "near-sets")
     levels = _nodes(reps, leaf)
     share, least = percent / 100, percent / 100 - SLACK
-    side = lambda c: reps.select(F.col("rid").alias(c), F.col("mh").alias(f"mh_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    stars = levels[0].select("rid", "leader")
-    for level in levels[1:]:
-        stars = stars.union(level.select("rid", "leader"))
-    stars = stars.filter("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b")
-    stars = stars.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    stars = stars.filter(F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda same: same)) >= least * TREES * DEPTH)
-    first = _confirm(stars.select("a", "b"), reps, docs, percent, "near-star")
-    roots = components(first, "near-first")
-
-    leaves = None
+    rows = None
     for k, level in enumerate(levels):
-        own = level if k == len(levels) - 1 else level.filter(F.col("n") <= leaf)
-        own = own.select("node", "rid", "n", "leader")
-        leaves = own if leaves is None else leaves.union(own)
-    named = leaves.join(roots.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-    named = cut(named, "near-leaves")
-    open_nodes = named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node", F.col("lo").alias("main"))
-    # in a large node the component of the smallest root is dealt out once; the rest meet every block
-    rows = named.join(open_nodes, "node").withColumn("parts", F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)))
-    whole = rows.filter("parts = 1").select("node", F.lit(0).cast("long").alias("block"), "rid", "comp", F.lit(2).alias("role"))
-    bases = rows.filter("parts > 1").select("node", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("block"), "rid", "comp", F.lit(0).alias("role"))
-    probes = rows.filter("parts > 1 and comp <> main").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "rid", "comp", F.lit(1).alias("role"))
+        last = F.lit(True) if k == len(levels) - 1 else F.col("n") <= leaf
+        own = level.select("node", "rid", "n", "leader", last.alias("last"))
+        rows = own if rows is None else rows.union(own)
+    picks = rows.filter("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("met")).groupBy("rid").agg(F.max_by("leader", F.struct("met", "leader")).alias("leader"))
+    links = _confirm(_alike(picks.select(F.col("leader").alias("a"), F.col("rid").alias("b")), reps, percent, least), reps, docs, percent, "near-pick")
+    roots = components(links, "near-first")
+
+    rows = cut(rows, "near-nodes")
+    opened = _open(rows, roots)
+    stars = opened.filter("comp <> main").select(F.col("member").alias("a"), F.col("rid").alias("b")).distinct()
+    more = cut(_alike(stars, reps, percent, least), "near-stars")
+    if more.limit(1).count():
+        links = links.union(_confirm(more, reps, docs, percent, "near-star"))
+        roots = components(links, "near-second")
+        opened = _open(rows, roots)
+    # in a large node the main component is dealt out once; the rest meet every block
+    opened = opened.filter("last").withColumn("parts", F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)))
+    whole = opened.filter("parts = 1").select("node", F.lit(0).cast("long").alias("block"), "rid", "comp", F.lit(2).alias("role"))
+    bases = opened.filter("parts > 1").select("node", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("block"), "rid", "comp", F.lit(0).alias("role"))
+    probes = opened.filter("parts > 1 and comp <> main").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "rid", "comp", F.lit(1).alias("role"))
     dealt = whole.union(bases).union(probes).join(reps.select("rid", "mh", "n_shingles"), "rid")
     dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "role")
     more = cut(dealt.mapInArrow(_compare(least, share), "a long, b long").distinct(), "near-open")
     if more.limit(1).count():
-        second = _confirm(more, reps, docs, percent, "near-rest")
-        roots = components(first.union(second), "near-all")
+        links = links.union(_confirm(more, reps, docs, percent, "near-rest"))
+        roots = components(links, "near-all")
 
     named = reps.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("skey", "label", F.coalesce("root", "rid").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("label").alias("component_id"))
