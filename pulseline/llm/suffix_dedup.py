@@ -4,7 +4,7 @@ A byte goes if some `span`-byte string that covers it also starts anywhere else
 
 Sampled suffixes. A suffix of a text is sampled where its `seed`-byte prefix has the least hash of all prefixes in
 some window of `span` bytes. The choice depends on the window's own bytes, so equal windows sample at equal offsets
-and no match is missed; about one position in (span - seed) / 2 is sampled. A suffix array holds the sampled
+and no match is missed; about one position in (span - seed) / 2 is sampled, and no more than one in a period of repetitive text. A suffix array holds the sampled
 suffixes of a batch, ordered by the digest of their seed prefix (equal prefixes are neighbours, which is all that
 matching needs), with a flag for prefixes that occur more than once.
 
@@ -36,53 +36,35 @@ from pyspark.sql import functions as F
 from . import bytes_np as B
 from .common import cut, forget, table, text_key
 
-SPAN, SEED, BATCHES, HOT = 400, 96, 4, 1024
+SPAN, SEED, BATCHES, HOT = 400, 160, 4, 1024
 U = np.uint64
 
 
-def _rolling(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Minimum (or maximum) of each `width` neighbours: block-wise running extremes from both sides."""
-    take = np.minimum if least else np.maximum
+def _rolling_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each `width` neighbours: running minima of blocks from both sides."""
     n = len(x) - width + 1
-    pad = -len(x) % width
-    y = np.concatenate((x, np.full(pad, x[-1], x.dtype))).reshape(-1, width)
-    left = take.accumulate(y, axis=1).ravel()
-    right = take.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return take(right[:n], left[width - 1 : width - 1 + n])
+    y = np.concatenate((x, np.full(-len(x) % width, x[-1], x.dtype))).reshape(-1, width)
+    left = np.minimum.accumulate(y, axis=1).ravel()
+    right = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
 def sampled(data: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Of one text: sampled positions, prefix digests, context digests, first and last start of their windows."""
+    """Of one text: sampled positions, prefix digests, context digests, first and last start of their windows.
+
+    A window samples the position with the least upper half of the prefix digest in it, the leftmost of equals.
+    """
     p = B.prefix_hashes(data)
     _, down = B.powers(len(data) + 1)
     n = len(data) - seed + 1
     prefix = B.mix((p[seed:] - p[:n]) * down[:n])
-    reach = span - seed
-    least = _rolling(prefix, reach + 1, True)  # by window start
-    windows = len(least)
-    high = np.zeros(n, np.uint64)  # greatest minimum of the windows around each position
-    padded = np.concatenate((np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)))
-    high = _rolling(padded, reach + 1, False)[:n]
-    at = np.flatnonzero(high == prefix)
-    own = prefix[at]
-    # windows of a position: starts from lo to hi in which it is the least, a run as both neighbours' limits move
-    change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    ends = np.concatenate((change[1:], [windows]))
-    first, last = np.maximum(at - reach, 0), np.minimum(at, windows - 1)
-    k = np.searchsorted(change, first, "right") - 1
-    top = np.searchsorted(change, last, "right") - 1
-    lo, hi = np.full(len(at), -1), np.full(len(at), -1)
-    live = np.ones(len(at), bool)
-    while live.any():  # few steps: the runs within one reach
-        j = np.flatnonzero(live)
-        hit = least[change[k[j]]] == own[j]
-        h = j[hit]
-        lo[h] = np.where(lo[h] < 0, np.maximum(change[k[h]], first[h]), lo[h])
-        hi[h] = np.minimum(ends[k[h]] - 1, last[h])
-        k[j] += 1
-        live[j] = k[j] <= top[j]
+    ranked = (prefix & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    chosen = (_rolling_min(ranked, span - seed + 1) & U(0xFFFFFFFF)).astype(np.int64)
+    lo = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+    hi = np.append(lo[1:], len(chosen)) - 1
+    at = chosen[lo]
     context = B.mix(B.mix((p[hi + span] - p[lo]) * down[lo]) + (at - lo).astype(np.uint64) * U(1_000_003) + (hi - lo).astype(np.uint64))
-    return at, own, context, lo, hi
+    return at, prefix[at], context, lo, hi
 
 
 def _suffixes(span: int, seed: int):  # noqa: ANN202
@@ -223,6 +205,18 @@ def _spread(span: int):  # noqa: ANN202
     return run
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated shifts of each context as runs."""
+    for batch in batches:
+        shifts = batch.column("shifts")
+        row = np.repeat(np.arange(len(batch)), np.diff(shifts.offsets.to_numpy()))
+        shift = shifts.flatten().to_numpy()
+        order = np.lexsort((shift, row))
+        k, first, last = _runs(row[order], shift[order])
+        take = pa.array(k)
+        yield pa.RecordBatch.from_arrays([batch.column("prefix").take(take), batch.column("context").take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["prefix", "context", "first", "last"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (tkey, text, spans) to what is left: counts, the digest and the kept runs of bytes."""
     for batch in batches:
@@ -262,11 +256,13 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     family = SuffixIndexFamily()
     for k in range(batches):
         family.add(suffixes.filter(F.pmod(F.xxhash64("tkey"), F.lit(batches)) == k).select("prefix"))
-    matched = cut(suffixes.join(family.repeated(), "prefix"), "suffix-matched")
-    # one row a context: whether its windows repeat as a whole, and one suffix that shows its bytes
-    kinds = matched.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "pos", "back", "ahead")).alias("one"))
+    # copies of a text sample the same suffixes: one row for all, with their number
+    matched = suffixes.join(family.repeated(), "prefix").groupBy("prefix", "context", "tkey", "pos", "back", "ahead").agg(F.count("*").alias("copies"))
+    matched = cut(matched, "suffix-matched")
+    # one row a context: at how many places its windows stand, and one suffix that shows its bytes
+    kinds = matched.groupBy("prefix", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("tkey", "pos", "back", "ahead")).alias("one"))
     kinds = cut(kinds, "suffix-contexts")
-    several = kinds.groupBy("prefix").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    several = kinds.groupBy("prefix").agg(F.count("*").alias("crowd"), F.min("n").alias("least")).filter("crowd > 1 and least = 1").drop("least")
     open_kinds = kinds.join(several, "prefix").select("prefix", "context", "crowd", "one.*")
     wanted = open_kinds.groupBy("tkey").agg(F.collect_list(F.struct("prefix", "context", "crowd", "pos", "back", "ahead")).alias("want"))
     # texts with a repeated prefix, once each: the only ones that may lose bytes
@@ -279,10 +275,10 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     found = calm.mapInArrow(_compare(span), "prefix long, context long, first int, last int")
     windows = bodies.filter(F.col("crowd") > hot).drop("crowd").mapInArrow(_spread(span), "prefix long, context long, shift int, digest long")
     again = windows.groupBy("prefix", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", "digest")
-    crowded = windows.join(again, ["prefix", "digest"]).select("prefix", "context", F.col("shift").alias("first"), F.col("shift").alias("last"))
+    crowded = windows.join(again, ["prefix", "digest"]).groupBy("prefix", "context").agg(F.collect_list("shift").alias("shifts")).mapInArrow(_fold, "prefix long, context long, first int, last int")
     whole = kinds.filter("n > 1").select("prefix", "context", (-F.col("one.back")).alias("first"), F.col("one.ahead").alias("last"))
     verdicts = found.union(crowded).union(whole).groupBy("prefix", "context").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    spans = matched.select("tkey", "pos", "prefix", "context").distinct().join(verdicts, ["prefix", "context"])
+    spans = matched.select("tkey", "pos", "prefix", "context").join(verdicts, ["prefix", "context"])
     spans = spans.select("tkey", "pos", F.explode("runs").alias("r")).select("tkey", (F.col("pos") + F.col("r.first")).alias("start"), (F.col("pos") + F.col("r.last") + span).alias("stop"))
     spans = spans.groupBy("tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     gone = texts.select("tkey", "text").join(spans, "tkey").mapInArrow(_remove, "tkey binary, n_removed long, removed array<struct<start long, stop long>>, sha string")
