@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, quality_rules, suffix_dedup, token_counts
+from . import decontaminate, html_text, importance, line_dedup, near_dedup, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 
-MODULES = (token_counts, quality_rules, decontaminate, near_dedup, suffix_dedup)
+MODULES = (line_dedup, token_counts, quality_rules, decontaminate, html_text, near_dedup, toxicity, sentencepiece_codec, importance, suffix_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}

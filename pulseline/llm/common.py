@@ -46,6 +46,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def row_key(doc_id: Column, tkey: Column) -> Column:
+    """One value for doc_id and the text's key, never null: rows with equal values are copies of one another."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.hex(tkey), F.lit("null"))))
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of edges(a, b): rows (v, root), root the smallest vertex reachable.
 

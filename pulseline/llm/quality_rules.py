@@ -155,9 +155,14 @@ def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     return estimates
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
-    """(doc_id, counts..., base_failed, distance, kept) for each row of docs(doc_id, text, lang, source)."""
-    counts = text_counts(docs.select("doc_id", "text", "lang", "source")).drop("text")
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry: bool = False) -> DataFrame:
+    """(doc_id, counts..., base_failed, kept, distance) for each row of docs(doc_id, text, lang, source).
+
+    With carry, column doc holds the whole row of docs, so that decisions needn't be joined back to texts.
+    """
+    whole = [F.struct("*").alias("doc")] if carry else []
+    counts = text_counts(docs.select("doc_id", "text", "lang", "source", *whole)).drop("text")
+    held = ["doc"] if carry else []
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     rows = cut(_vector(counts.withColumn("base_failed", failed)), "quality-counts")
     name = lambda *cs: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in cs))
@@ -174,10 +179,10 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -
     all_units = F.array(name(F.lit("g"), F.col("lang"), F.col("source")), F.col("wide"), F.lit("all"))
     vectors = body.select(F.explode(all_units).alias("unit"), *STATISTICS).join(used, "unit", "left_semi")
     estimates = robust_estimates(cut(vectors, "quality-vectors"))
-    judged = _distances(body.select("doc_id", "unit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), estimates)
+    judged = _distances(body.select(*held, "doc_id", "unit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), estimates)
     worse = F.greatest(F.abs(F.col("z_0")), *(F.col(f"z_{i}") for i in range(1, len(STATISTICS))))
     judged = judged.withColumn("kept", ~((F.col("d2") > cutoff) & (worse * worse * len(STATISTICS) > cutoff)))
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    columns = (*held, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     lost = rows.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.select(*columns, "kept", F.col("d2").alias("distance")).union(lost)
 
