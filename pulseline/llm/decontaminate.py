@@ -46,15 +46,20 @@ def _is_number(token: Column) -> Column:
 def _kind(tokens: Column, token: Column, i: Column) -> Column:
     """The template's token: the slot's type, or the word itself."""
     unit = token.isin(*UNITS) & (i > 0) & _is_number(F.get(tokens, i - 1))
-    return F.when(token < "\x02", F.lit(NAME)).when(_is_number(token), F.lit(NUMBER)).when(unit, F.lit(UNIT)).otherwise(token)
+    plain = (token > ":") & ~token.isin(*UNITS)  # by far the most, so asked first
+    return F.when(plain, token).when(token < "\x02", F.lit(NAME)).when(_is_number(token), F.lit(NUMBER)).when(unit, F.lit(UNIT)).otherwise(token)
 
 
-def _windows(tokens: DataFrame) -> DataFrame:
-    """tokens(..., tokens) with column windows: the hash of each WINDOW template tokens from each place on."""
-    kinds = tokens.withColumn("_h", F.transform("tokens", lambda x, i: F.xxhash64(_kind(F.col("tokens"), x, i))))
-    # a filter between the steps would not keep them apart; a one-element array binds the hashes once
-    bound = F.transform(F.array("_h"), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))))
-    return kinds.withColumn("windows", F.when(F.size("_h") >= WINDOW, F.element_at(bound, 1))).drop("_h")
+def _windows(tokens: DataFrame, place: str) -> DataFrame:
+    """A row for each place that WINDOW template tokens start at, with their hash; the other columns of tokens stay.
+
+    The hashes of single tokens are an array column; windows are made from it row by row, behind the explode, where
+    they are compiled code and feed the join without being stored.
+    """
+    hashes = tokens.withColumn("_h", F.transform("tokens", lambda x, i: F.xxhash64(_kind(F.col("tokens"), x, i))))
+    starts = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW))
+    rows = hashes.select("*", F.explode(starts).alias(place))
+    return rows.withColumn("window", F.xxhash64(*(F.get("_h", F.col(place) + k) for k in range(WINDOW)))).drop("_h")
 
 
 def _slots(tokens: Column, start: Column) -> Column:
@@ -67,7 +72,7 @@ def _slots(tokens: Column, start: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, window, item_pos, n_windows, slots): each window of each item with enough words of its own."""
     items = benchmark.select("item_id", "text").distinct().select(F.struct("item_id", "text").alias("_i"), _tokens(F.col("text")).alias("tokens"))
-    items = _windows(items).filter("windows is not null").select(F.xxhash64("_i.item_id", "_i.text").alias("item"), F.col("_i.item_id").alias("item_id"), "tokens", F.posexplode("windows").alias("item_pos", "window"))
+    items = _windows(items, "item_pos").select(F.xxhash64("_i.item_id", "_i.text").alias("item"), F.col("_i.item_id").alias("item_id"), "tokens", "item_pos", "window")
     rows = items.withColumn("slots", _slots(F.col("tokens"), F.col("item_pos"))).filter(WINDOW - F.size("slots") >= LITERALS).drop("tokens")
     sizes = rows.groupBy("item").agg(F.count("*").alias("n_windows")).withColumnRenamed("item", "_item")
     return rows.join(sizes, F.col("item") == F.col("_item")).drop("_item")
@@ -80,7 +85,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     n, with_slots = known.agg(F.count("*"), F.coalesce(F.sum((F.size("slots") > 0).cast("int")), F.lit(0))).first()
     small = known.select("window", "item", "item_pos", (F.size("slots") > 0).alias("slotted"))
     tokens = docs.select("doc_id", "tkey", _tokens(F.col("text")).alias("tokens"))
-    rows = _windows(tokens).select("doc_id", "tkey", F.posexplode("windows").alias("doc_pos", "window"))
+    rows = _windows(tokens, "doc_pos").select("doc_id", "tkey", "doc_pos", "window")
     hits = rows.join(F.broadcast(small) if n <= BROADCAST else small, "window").select("doc_id", "tkey", "doc_pos", "item", "item_pos", "slotted")
     hits = cut(hits.distinct(), "leak-hits")
     key = ["doc_id", "tkey", "item", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")]
