@@ -79,3 +79,19 @@ def test_termination_timer(spark, tmp_path):
     stream = events(spark, tmp_path, schema, rows, parts=6).withWatermark("ts", "0 seconds")
     got = drain(stateful.terminations(stream), "terminations", spark).collect()
     assert [(r.eid, r.terminated_at) for r in got] == [(1, at(610))]
+
+
+def test_log_sink(spark, tmp_path):
+    from pulseline.streaming.sinks import LogSink, frames_by_receiver
+
+    schema = "eid string, partition_id int, payload string, seq long"
+    rows = [("uv"[k % 2], 1, f"m{k}", k) for k in range(12)]
+    sink = LogSink(spark, str(tmp_path / "log"), ["seq"])
+    sink.start(events(spark, tmp_path, schema, rows), str(tmp_path / "check"), availableNow=True).awaitTermination()
+    got = {(r.eid, r.offset): r.payload for r in sink.read().collect()}
+    assert got == {("uv"[k % 2], k // 2 + 1): f"m{k}" for k in range(12)}
+    last = spark.createDataFrame(rows[8:], schema)
+    sink.write(last, 2)  # the last batch once more: same offsets, no new rows
+    assert {(r.eid, r.offset): r.payload for r in sink.read().collect()} == got
+    frames = spark.createDataFrame([("a", 2, bytearray(b"2")), ("a", 1, bytearray(b"1"))], "receiver string, n int, frame binary")
+    assert [bytes(f) for f in frames_by_receiver(frames, ["n"]).first().frames] == [b"1", b"2"]
