@@ -43,13 +43,17 @@ ONLINE_SQL = f"(status = 'ONLINE' AND datediff('second', last_seen, as_of) <= {S
 STATUS_SQL = "CASE {0} WHEN 1 THEN 'ONLINE' WHEN 2 THEN 'OFFLINE' WHEN 3 THEN 'AWAY' WHEN 4 THEN 'BUSY' WHEN 5 THEN 'DND' WHEN 6 THEN 'TYPING' WHEN 7 THEN 'RECORDING' WHEN 8 THEN 'FORWARDED' WHEN 9 THEN 'DELIVERED' WHEN 10 THEN 'READ' WHEN 11 THEN 'RESUME' ELSE 'UNKNOWN' END"
 
 
+def _clock(spark: SparkSession, sf_dir: str) -> Column:
+    """The latest event time, as a scalar subquery."""
+    return V.as_of(V.table(spark, sf_dir, "events")).scalar()
+
+
 def _clocked(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """df with the latest event time in column as_of: a scalar subquery, computed once."""
-    return df.withColumn("as_of", V.as_of(V.table(spark, sf_dir, "events")).scalar())
+    return df.withColumn("as_of", _clock(spark, sf_dir))
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clocked(presence.device_snapshot(V.stanzas(spark, sf_dir)), spark, sf_dir)
+    return presence.device_snapshot(V.stanzas(spark, sf_dir))
 
 
 def _text(ids: Column) -> Column:
@@ -66,13 +70,11 @@ SELECT eid, CASE WHEN count(*) FILTER ({ONLINE_SQL}) > 0 THEN 'ONLINE' ELSE 'OFF
        max(last_seen) AS last_seen
 FROM snapshot, clock GROUP BY eid""")
 def presence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rollup(_snapshot(spark, sf_dir))
+    return _rollup(_snapshot(spark, sf_dir), _clock(spark, sf_dir))
 
 
-def _rollup(devices: DataFrame, hidden: bool = False) -> DataFrame:
-    flagged = devices.withColumn("_up", F.when(D.live(F.col("status"), F.col("last_seen"), F.col("as_of"), STALE), "ONLINE").otherwise("OFFLINE"))
-    ready = flagged.select("eid", "device_id", F.col("_up").alias("status"), "last_seen", *(["awareness_intention"] if hidden else []))
-    out = presence.presence_rollup(ready, F.col("last_seen"), 0)
+def _rollup(devices: DataFrame, clock: Column) -> DataFrame:
+    out = presence.presence_rollup(devices, clock, STALE)
     return out.select("eid", "user_status", "live_devices", _text(F.col("online_device_ids")).alias("online_devices"), "last_seen")
 
 
@@ -85,7 +87,7 @@ FROM h, clock GROUP BY eid""")
 def presence_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roll-up where device 0 of every fifth user hides the user."""
     devices = _snapshot(spark, sf_dir).withColumn("awareness_intention", F.when((F.col("device_id") == 0) & (F.col("eid") % 5 == 0), 1).otherwise(2))
-    return _rollup(devices, hidden=True)
+    return _rollup(devices, _clock(spark, sf_dir))
 
 
 @query(_with(V.STANZAS_SQL, SNAPSHOT_SQL) + " SELECT * FROM snapshot")
@@ -95,12 +97,12 @@ def device_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(V.STANZAS_SQL, SNAPSHOT_SQL, CLOCK_SQL) + f" SELECT eid, device_id, last_seen FROM snapshot, clock WHERE {ONLINE_SQL}")
 def active_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot(spark, sf_dir).filter(D.live(F.col("status"), F.col("last_seen"), F.col("as_of"), STALE)).select("eid", "device_id", "last_seen")
+    return _snapshot(spark, sf_dir).filter(D.live(F.col("status"), F.col("last_seen"), _clock(spark, sf_dir), STALE)).select("eid", "device_id", "last_seen")
 
 
 @query(_with(V.STANZAS_SQL, SNAPSHOT_SQL, CLOCK_SQL) + f" SELECT eid, device_id, last_seen FROM snapshot, clock WHERE status = 'ONLINE' AND last_seen > as_of - INTERVAL {STALE} SECOND")
 def active_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot(spark, sf_dir).filter(D.active(F.col("status"), F.col("last_seen"), F.col("as_of"), STALE)).select("eid", "device_id", "last_seen")
+    return _snapshot(spark, sf_dir).filter(D.active(F.col("status"), F.col("last_seen"), _clock(spark, sf_dir), STALE)).select("eid", "device_id", "last_seen")
 
 
 @query(_with(V.STANZAS_SQL, SNAPSHOT_SQL) + " SELECT eid, bool_or(status = 'ONLINE') AS any_online FROM snapshot GROUP BY eid")
@@ -117,8 +119,7 @@ def device_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT eid, CAST(greatest({STALE} - datediff('second', max(last_seen), max(as_of)), 0) AS BIGINT) AS seconds_left
 FROM snapshot, clock GROUP BY eid HAVING NOT bool_or(status = 'ONLINE')""")
 def grace_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clock = V.as_of(V.table(spark, sf_dir, "events")).scalar()
-    return presence.grace_deadlines(presence.device_snapshot(V.stanzas(spark, sf_dir)), clock, STALE)
+    return presence.grace_deadlines(_snapshot(spark, sf_dir), _clock(spark, sf_dir), STALE)
 
 
 PATCHED_SQL = "odd AS (SELECT eid, device_id, max(ts) AS at FROM stanzas WHERE event_id % 7 = 0 GROUP BY ALL)"
@@ -152,7 +153,7 @@ def session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = stanzas.filter("status <> 1").groupBy("eid", "device_id").agg(F.min("event_id").alias("last_offset"))
     old = old.select("eid", "device_id", F.lit("OFFLINE").alias("status"), F.lit("PONG").alias("status_source"), F.lit("old").alias("os"), "last_offset", F.lit(None).cast("timestamp_ntz").alias("last_seen"))
     new = stanzas.filter("status = 1").groupBy("eid", "device_id").agg(F.max("event_id").alias("last_offset"), F.max("rtt_ms").cast("string").alias("os"))
-    return D.upsert_sessions(old, new.withColumn("status", F.lit("ONLINE")), V.as_of(V.table(spark, sf_dir, "events")).scalar())
+    return D.upsert_sessions(old, new.withColumn("status", F.lit("ONLINE")), _clock(spark, sf_dir))
 
 
 @query(_with(V.STANZAS_SQL) + " SELECT eid, CAST(CASE WHEN count(*) = 1 THEN 2 ELSE max_by(status, (ts, event_id)) END AS INT) AS awareness, max(ts) AS updated_at FROM stanzas GROUP BY eid")
@@ -375,7 +376,7 @@ def fanout_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fanout_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = fanout.peer(_events(spark, sf_dir))
     devices = _snapshot(spark, sf_dir)
-    return fanout.to_devices(routed, devices, F.col("as_of"), STALE).select("event_id", "receiver", "to_device")
+    return fanout.to_devices(routed, devices, _clock(spark, sf_dir), STALE).select("event_id", "receiver", "to_device")
 
 
 @query(_with(V.STANZAS_SQL, V.EDGES_SQL) + " SELECT owner_id AS receiver, count(*) AS updates FROM stanzas s JOIN edges ON subscriber_id = s.eid WHERE event_id % 50 = 0 GROUP BY owner_id")
