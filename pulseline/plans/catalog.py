@@ -122,7 +122,7 @@ def grace_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.grace_deadlines(_snapshot(spark, sf_dir), _clock(spark, sf_dir), STALE)
 
 
-PATCHED_SQL = "odd AS (SELECT eid, device_id, max(ts) AS at FROM stanzas WHERE event_id % 7 = 0 GROUP BY ALL)"
+PATCHED_SQL = "odd AS (SELECT eid, device_id, max(ts) AS at FROM stanzas WHERE status = 2 GROUP BY ALL)"
 
 
 @query(_with(V.STANZAS_SQL, SNAPSHOT_SQL, PATCHED_SQL) + """
@@ -132,14 +132,15 @@ FROM snapshot s LEFT JOIN odd o ON s.eid = o.eid AND s.device_id = o.device_id""
 def device_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     stanzas = V.stanzas(spark, sf_dir)
     devices = presence.device_snapshot(stanzas).withColumns({"status_source": F.lit("LOGIN"), "last_activity": F.lit(None).cast("timestamp_ntz")})
-    patches = stanzas.filter("event_id % 7 = 0").groupBy("eid", "device_id").agg(F.max("ts").alias("at")).withColumns({"status": F.lit("AWAY"), "source": F.lit("PONG")})
+    patches = stanzas.filter("status = 2").groupBy("eid", "device_id").agg(F.max("ts").alias("at")).withColumns({"status": F.lit("AWAY"), "source": F.lit("PONG")})
     return D.patch_status(devices, patches).select("eid", "device_id", "status", "status_source", "last_activity", "last_seen", "found")
 
 
-@query(_with(V.STANZAS_SQL, SNAPSHOT_SQL) + " SELECT * FROM snapshot s WHERE NOT EXISTS (SELECT 1 FROM stanzas t WHERE t.eid = s.eid AND t.device_id = s.device_id AND t.event_id % 97 = 0)")
+@query(_with(V.STANZAS_SQL, SNAPSHOT_SQL) + " SELECT * FROM snapshot WHERE status <> 'OFFLINE'")
 def device_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stanzas = V.stanzas(spark, sf_dir)
-    return D.delete_devices(presence.device_snapshot(stanzas), stanzas.filter("event_id % 97 = 0"))
+    """Devices whose last stanza took them offline are deleted."""
+    devices = _snapshot(spark, sf_dir)
+    return D.delete_devices(devices, devices.filter("status = 'OFFLINE'"))
 
 
 @query(_with(V.STANZAS_SQL, """logins AS (SELECT eid, device_id, max(event_id) AS last_offset, CAST(max(rtt_ms) AS VARCHAR) AS os FROM stanzas WHERE status = 1 GROUP BY ALL)""",
@@ -379,9 +380,9 @@ def fanout_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fanout.to_devices(routed, devices, _clock(spark, sf_dir), STALE).select("event_id", "receiver", "to_device")
 
 
-@query(_with(V.STANZAS_SQL, V.EDGES_SQL) + " SELECT owner_id AS receiver, count(*) AS updates FROM stanzas s JOIN edges ON subscriber_id = s.eid WHERE event_id % 50 = 0 GROUP BY owner_id")
+@query(_with(V.STANZAS_SQL, V.EDGES_SQL) + " SELECT owner_id AS receiver, count(*) AS updates FROM stanzas s JOIN edges ON subscriber_id = s.eid WHERE status = 1 GROUP BY owner_id")
 def ping_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pings = fanout.ping_refreshes(V.stanzas(spark, sf_dir).filter("event_id % 50 = 0").select("eid", "event_id"))
+    pings = fanout.ping_refreshes(V.stanzas(spark, sf_dir).filter("status = 1").select("eid", "event_id"))
     return fanout.ping_refresh_receivers(pings, V.edges(spark, sf_dir)).groupBy("receiver").agg(F.count("*").alias("updates"))
 
 
@@ -435,10 +436,10 @@ def log_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.advance(cursors, L.fetch(log, cursors, 2)).select("eid", "partition_id", "device_id", "offset")
 
 
-@query(_with(V.LOG_SQL) + """ SELECT eid, "offset" FROM log WHERE "offset" % 3 <> 0""")
+@query(_with(V.LOG_SQL) + """ SELECT eid, "offset" FROM log WHERE "from" <> 'user'""")
 def log_unacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = V.message_log(spark, sf_dir)
-    marks = log.filter("offset % 3 = 0").select("eid", "partition_id", F.lit("d0").alias("device_id"), "offset")
+    marks = log.filter("from = 'user'").select("eid", "partition_id", F.lit("d0").alias("device_id"), "offset")
     return L.unacked(log, L.acknowledge(marks, marks), "d0").select("eid", "offset")
 
 
