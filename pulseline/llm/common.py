@@ -51,13 +51,25 @@ def row_key(doc_id: Column, tkey: Column) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.hex(tkey), F.lit("null"))))
 
 
-def components(edges: DataFrame, tag: str) -> DataFrame:
+def _toward_least(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: each vertex and its smaller neighbours hang on the least of these."""
+    low = edges.groupBy("b").agg(F.min("a").alias("m"))
+    hung = edges.join(low, "b")
+    return hung.select(F.col("m").alias("a"), F.col("a").alias("b")).union(hung.select("m", "b")).filter("a <> b").distinct()
+
+
+def components(edges: DataFrame, tag: str, shrink: int = 2) -> DataFrame:
     """Connected components of edges(a, b): rows (v, root), root the smallest vertex reachable.
 
-    Minimum labels travel along edges and every round follows the label's own label, so paths halve. Each round
+    Edges are first hung on least neighbours `shrink` times, which takes most of them away where groups are dense.
+    Then minimum labels travel along edges and every round follows the label's own label, so paths halve. Each round
     is written to the shared folder and ends in one count; only that count reaches the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
+    loops = edges.filter("a = b").select("a", "b")
+    thin = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for _ in range(shrink):
+        thin = cut(_toward_least(thin), f"{tag}-thin")
+    both = cut(thin.union(thin.select(F.col("b"), F.col("a"))).union(loops).distinct(), f"{tag}-edges")
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("root")), f"{tag}-labels")
     while True:
         seen = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("far")), "b")

@@ -7,12 +7,12 @@ minwise shingles, and two sets of similarity s share a path of length d with pro
 block, never capped. With s = 0.85, DEPTH = 4 and TREES = 24 a pair is missed with probability
 (1 - 0.85**4)**24 = 2e-8.
 
-Comparison is in three rounds. First every vertex is compared with one other, the node leader (a node's smallest
-vertex) that it meets in most nodes. Then, in nodes that still hold several components, every vertex outside the
-node's least component is compared with a member of that (a star, linear in the node). At last, in leaves that still
-hold several components, pairs of different components are compared exhaustively. In each round an estimate over the 96 minwise values drops pairs far under the threshold (at 0.85 the
-cut-off of 0.70 lies four standard deviations below), and all others are confirmed on full shingle sets. Pairs
-inside one component add nothing to it and are never made, so a group of copies costs its size, not its square.
+Comparison is in two rounds. First every vertex is compared with one other, the node leader (a node's smallest
+vertex) that it meets in most nodes. Then, in nodes that still hold several components, pairs of different components are
+compared exhaustively by an estimate over the 96 minwise values (for a threshold of 0.85 its cut-off of 0.70 lies four
+standard deviations below). Alike vertices form clusters, and inside a cluster all pairs of different components are
+compared, block against block, on full shingle sets. Tasks return links of stars and chains, never pairs: a group of
+copies costs its size in rows, not its square.
 
 Edge cases: null and empty texts, and texts of white space only, have no shingles, are linked with nothing and
 keep their own doc_id. A text of one to four words is one shingle. Repeated rows share a set, so they share a
@@ -33,6 +33,7 @@ from . import bytes_np as B
 from .common import components, cut, forget, table, text_key
 
 WORDS, TREES, DEPTH, LEAF, BLOCK = 5, 24, 4, 32, 256
+BLOCK_SHINGLES = 1_000_000
 SLACK = 0.15
 U = np.uint64
 _rng = np.random.default_rng(77)
@@ -124,21 +125,95 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n), pa.array(m)], ["a", "b", "shared", "together"])
 
 
+class Forest:
+    """Joined sets of the numbers below n."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+    def links(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each joined number's name with the name of its set's root: a star a set, of as many links as members less one."""
+        roots = np.array([self.root(x) for x in range(len(self.up))], np.int64)
+        out = np.flatnonzero(roots != np.arange(len(roots)))
+        a, b = names[roots[out]], names[out]
+        keep = a != b
+        return a[keep], b[keep]
+
+
+def _link(percent: int, least: float):  # noqa: ANN202
+    """Rows come sorted by (root, low, high), one block or a pair of blocks of a cluster: links of different components."""
+
+    def compare(run: pa.Table) -> pa.RecordBatch:
+        run = run.combine_chunks()
+        rid, comp, part = (run.column(c).to_numpy() for c in ("rid", "comp", "part"))
+        values = run.column("mh").combine_chunks().flatten().to_numpy().reshape(len(run), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in run.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        own = Forest(len(run))
+        first = {}
+        for k, c in enumerate(comp.tolist()):  # what is one component already needs no comparison
+            own.join(k, first.setdefault(c, k))
+        mixed = run.column("low")[0].as_py() != run.column("high")[0].as_py()
+        found = []
+        for p in range(len(run)):
+            rest = np.arange(p + 1, len(run))
+            if mixed:
+                rest = rest[part[rest] != part[p]]
+            fit = rest[(comp[rest] != comp[p]) & (np.minimum(size[rest], size[p]) * 100 >= np.maximum(size[rest], size[p]) * percent)]
+            for q in fit[(values[fit] == values[p]).sum(1) >= least * values.shape[1]].tolist() if len(fit) else ():
+                if own.root(p) != own.root(q):
+                    both = np.concatenate((sets[p], sets[q]))
+                    both.sort(kind="stable")
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if shared * 100 >= (len(both) - shared) * percent:
+                        own.join(p, q)
+                        found.append((rid[p], rid[q]))
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "low", "high")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(batch)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                key = tuple(keys[start])
+                if held and key != name:
+                    yield compare(pa.Table.from_batches(held))
+                    held = []
+                name = key
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
+
 def _compare(least: float, share: float):  # noqa: ANN202
     def pairs(run: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         rows = pa.Table.from_batches(run).combine_chunks()
         rid, comp, size, role = (rows.column(c).to_numpy() for c in ("rid", "comp", "n_shingles", "role"))
         values = rows.column("mh").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
         base, probe = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-        found = []
+        own = Forest(len(rid))
         for p in probe:
             low, high = np.minimum(size[base], size[p]), np.maximum(size[base], size[p])
             fit = base[(comp[base] != comp[p]) & (low >= share * high) & ((role[base] == 0) | (rid[base] > rid[p]))]
             if len(fit):
-                fit = fit[(values[fit] == values[p]).sum(1) >= least * values.shape[1]]
-                found += [(min(rid[p], rid[q]), max(rid[p], rid[q])) for q in fit]
-        out = np.array(found, np.int64).reshape(-1, 2)
-        return out[:, 0], out[:, 1]
+                for q in fit[(values[fit] == values[p]).sum(1) >= least * values.shape[1]].tolist():
+                    own.join(int(p), q)
+        return own.links(rid)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (node, block, role): bases first, so a block holds its bases and one batch of probes."""
@@ -186,21 +261,40 @@ def _nodes(reps: DataFrame, leaf: int) -> list[DataFrame]:
     return levels
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, tag: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    pairs = cut(pairs, f"{tag}-pairs")
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+def _full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+    """The full shingle sets of ids(rid), from one text of each."""
     need = reps.join(ids, "rid", "left_semi").select("rid", F.col("tkey").alias("want"))
-    texts = docs.join(need, F.col("tkey") == F.col("want")).select("rid", "text")
-    sets = texts.mapInArrow(_sets, "rid long, shingles binary").groupBy("rid").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets, f"{tag}-sets")
+    # copies collapse in the tasks that read them, before the shuffle
+    texts = docs.groupBy("tkey").agg(F.first("text").alias("text")).join(need, F.col("tkey") == F.col("want")).select("rid", "text")
+    return cut(texts.mapInArrow(_sets, "rid long, shingles binary"), tag)
+
+
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    pairs = cut(pairs, "near-pairs")
+    sets = _full_sets(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), reps, docs, "near-pair-sets")
     left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
     full = left.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    links = cut(full.mapInArrow(_overlaps, "a long, b long, shared long, together long").filter(F.col("shared") * 100 >= F.col("together") * percent), f"{tag}-links")
+    links = cut(full.mapInArrow(_overlaps, "a long, b long, shared long, together long").filter(F.col("shared") * 100 >= F.col("together") * percent), "near-links")
     forget(sets)
     return links.select("a", "b")
 
 
+def _cluster_links(alike: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links between components inside the clusters that alike(a, b) connects: every block of a cluster meets every other."""
+    named = components(alike, "near-cluster").select(F.col("v").alias("rid"), "root")
+    named = named.join(reps.select("rid", "mh", "n_shingles"), "rid").join(roots.select(F.col("v").alias("rid"), F.col("root").alias("_c")), "rid", "left")
+    sizes = named.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    rows = named.join(sizes, "root").select("root", "rid", F.coalesce("_c", "rid").alias("comp"), "mh", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("part"), "parts")
+    sets = _full_sets(named.select("rid"), reps, docs, "near-cluster-sets")
+    rows = rows.join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rid", "comp", "mh", "shingles")
+    rows = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    links = cut(rows.mapInArrow(_link(percent, least), "a long, b long"), "near-cluster-links")
+    forget(sets)
+    return links
+
+
 def _alike(pairs: DataFrame, reps: DataFrame, percent: int, least: float) -> DataFrame:
     """The pairs (a, b) whose set sizes allow the threshold and whose minwise values agree often enough."""
     side = lambda c: reps.select(F.col("rid").alias(c), F.col("mh").alias(f"mh_{c}"), F.col("n_shingles").alias(f"n_{c}"))
@@ -209,10 +303,10 @@ def _alike(pairs: DataFrame, reps: DataFrame, percent: int, least: float) -> Dat
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of nodes that hold several components: (node, rid, n, last, comp), the least component and a member of it."""
-    named = cut(rows.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("node", "rid", "n", "last", F.coalesce("root", "rid").alias("comp")), "near-named")
-    several = named.groupBy("node").agg(F.min("comp").alias("main"), F.max("comp").alias("top"), F.min(F.struct("comp", "rid")).alias("_m")).filter("main <> top")
-    return named.join(several.select("node", "main", F.col("_m.rid").alias("member")), "node")
+    """The rows of nodes that hold several components: (node, rid, n, comp), and the node's least component."""
+    named = cut(rows.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("node", "rid", "n", F.coalesce("root", "rid").alias("comp")), "near-named")
+    several = named.groupBy("node").agg(F.min("comp").alias("main"), F.max("comp").alias("top")).filter("main <> top")
+    return named.join(several.select("node", "main"), "node")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = LEAF) -> DataFrame:
@@ -229,27 +323,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = LEAF) -> Dat
         own = level.select("node", "rid", "n", "leader", last.alias("last"))
         rows = own if rows is None else rows.union(own)
     picks = rows.filter("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("met")).groupBy("rid").agg(F.max_by("leader", F.struct("met", "leader")).alias("leader"))
-    links = _confirm(_alike(picks.select(F.col("leader").alias("a"), F.col("rid").alias("b")), reps, percent, least), reps, docs, percent, "near-pick")
+    links = _confirm(_alike(picks.select(F.col("leader").alias("a"), F.col("rid").alias("b")), reps, percent, least), reps, docs, percent)
     roots = components(links, "near-first")
 
-    rows = cut(rows, "near-nodes")
-    opened = _open(rows, roots)
-    stars = opened.filter("comp <> main").select(F.col("member").alias("a"), F.col("rid").alias("b")).distinct()
-    more = cut(_alike(stars, reps, percent, least), "near-stars")
-    if more.limit(1).count():
-        links = links.union(_confirm(more, reps, docs, percent, "near-star"))
-        roots = components(links, "near-second")
-        opened = _open(rows, roots)
+    opened = _open(cut(rows.filter("last"), "near-nodes"), roots)
     # in a large node the main component is dealt out once; the rest meet every block
-    opened = opened.filter("last").withColumn("parts", F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)))
+    opened = opened.withColumn("parts", F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)))
     whole = opened.filter("parts = 1").select("node", F.lit(0).cast("long").alias("block"), "rid", "comp", F.lit(2).alias("role"))
     bases = opened.filter("parts > 1").select("node", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("block"), "rid", "comp", F.lit(0).alias("role"))
     probes = opened.filter("parts > 1 and comp <> main").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "rid", "comp", F.lit(1).alias("role"))
     dealt = whole.union(bases).union(probes).join(reps.select("rid", "mh", "n_shingles"), "rid")
     dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "role")
-    more = cut(dealt.mapInArrow(_compare(least, share), "a long, b long").distinct(), "near-open")
-    if more.limit(1).count():
-        links = links.union(_confirm(more, reps, docs, percent, "near-rest"))
+    alike = cut(dealt.mapInArrow(_compare(least, share), "a long, b long").distinct(), "near-alike")
+    if alike.limit(1).count():
+        links = links.union(_cluster_links(alike, roots, reps, docs, percent, least))
         roots = components(links, "near-all")
 
     named = reps.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("skey", "label", F.coalesce("root", "rid").alias("comp"))
