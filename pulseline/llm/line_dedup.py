@@ -79,6 +79,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     units = rows.select("text", "_u_row", "_u_rank").mapInArrow(_units(least), "_u_row long, _u_rank long, place int, start long, stop long, digest binary")
     units = cut(units, "line-units")
     first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_u_rank", "_u_row", "place")).alias("first")).filter("n > 1")
+    first = cut(first, "line-first")  # as a table: Spark splits a hot key of a join only where both sides come straight from a shuffle
     later = units.join(first, "digest").filter((F.col("_u_row") != F.col("first._u_row")) | (F.col("place") != F.col("first.place")))
     gone = later.groupBy("_u_row").agg(F.collect_list(F.struct("place", "start", "stop")).alias("_u_gone"))
     full = rows.drop("_u_rank").join(gone, "_u_row", "left").drop("_u_row")

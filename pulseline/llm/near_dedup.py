@@ -254,6 +254,7 @@ def _nodes(reps: DataFrame, leaf: int) -> list[DataFrame]:
     levels = []
     for level in range(1, DEPTH + 1):
         sizes = live.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("leader")).filter("n > 1")
+        sizes = cut(sizes, "near-sizes")  # as a table: Spark splits a hot node only where both sides come straight from a shuffle
         levels.append(cut(live.join(sizes, "node"), f"near-level{level}"))
         if level == DEPTH or not levels[-1].filter(F.col("n") > leaf).limit(1).count():
             break
@@ -306,6 +307,7 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of nodes that hold several components: (node, rid, n, comp), and the node's least component."""
     named = cut(rows.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("node", "rid", "n", F.coalesce("root", "rid").alias("comp")), "near-named")
     several = named.groupBy("node").agg(F.min("comp").alias("main"), F.max("comp").alias("top")).filter("main <> top")
+    several = cut(several, "near-several")
     return named.join(several.select("node", "main"), "node")
 
 

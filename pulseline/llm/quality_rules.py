@@ -31,6 +31,8 @@ SYMBOLS = "#*$%&|<>"
 STATISTICS = ("word_length", "symbols", "capitals", "dup_lines", "repeats")
 FLOOR = {"word_length": 0.12, "symbols": 0.12, "capitals": 0.08, "dup_lines": 0.12, "repeats": 0.12}
 COVER, STEPS, LEAST = 0.75, 3, 60
+#: Most units whose estimates (some 200 bytes each) are broadcast; beyond, they are joined.
+BROADCAST = 50_000
 #: Squared distance: far beyond the 1e-6 quantile (36) of chi-square with five degrees, as clean texts have heavy tails.
 CUTOFF = 60.0
 
@@ -118,9 +120,14 @@ def _cholesky(estimates: DataFrame) -> DataFrame:
     return estimates.select("unit", *(_centre(i) for i in range(len(STATISTICS))), *(_factor(i, j) for i, j in PAIRS))
 
 
-def _distances(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+def _beside(rows: DataFrame, by_unit: DataFrame, few: bool) -> DataFrame:
+    """rows with their unit's row of by_unit, not left dealt out by unit, so that what follows is aggregated before a shuffle."""
+    return rows.join(F.broadcast(by_unit), "unit") if few else rows.join(by_unit, "unit").hint("rebalance")
+
+
+def _distances(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to the unit's estimate, by forward substitution."""
-    out = vectors.join(estimates, "unit")
+    out = _beside(vectors, estimates, few)
     for i, name in enumerate(STATISTICS):
         rest = F.col(name) - F.col(_centre(i))
         for k in range(i):
@@ -137,20 +144,20 @@ def _moments(kept: DataFrame, correction: Column | float = 1.0) -> DataFrame:
     return out.withColumns({f"c_{i}_{j}": F.col(f"c_{i}_{j}") * correction + (F.lit(FLOOR[STATISTICS[i]] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS})
 
 
-def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
+def robust_estimates(vectors: DataFrame, few: bool, steps: int = STEPS) -> DataFrame:
     """One row a unit: centre and Cholesky factor of the minimum-covariance-determinant estimate of vectors(unit, ...)."""
     #: median of chi-square(5) at COVER over its truncated mean: makes the covariance of the inner share consistent
     correction = 1.85
     medians = vectors.groupBy("unit").agg(*(F.percentile_approx(s, 0.5, 1000).alias(f"_{s}") for s in STATISTICS))
-    spread = vectors.join(medians, "unit").groupBy("unit").agg(
+    spread = _beside(vectors, medians, few).groupBy("unit").agg(
         *(F.first(f"_{s}").alias(_centre(i)) for i, s in enumerate(STATISTICS)), *(F.percentile_approx(F.abs(F.col(s) - F.col(f"_{s}")), 0.5, 1000).alias(f"_d_{s}") for s in STATISTICS)
     )
     spread = spread.withColumns({f"c_{i}_{j}": F.pow(1.4826 * F.col(f"_d_{STATISTICS[i]}"), 2) + F.lit(FLOOR[STATISTICS[i]] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS})
     estimates = cut(_cholesky(spread), "mcd-start")
     for _ in range(steps):
-        far = _distances(vectors, estimates).select("unit", "d2", *STATISTICS)
+        far = _distances(vectors, estimates, few).select("unit", "d2", *STATISTICS)
         limits = far.groupBy("unit").agg(F.percentile_approx("d2", COVER, 1000).alias("limit"))
-        inner = far.join(limits, "unit").filter("d2 <= limit")
+        inner = _beside(far, limits, few).filter("d2 <= limit")
         estimates = cut(_cholesky(_moments(inner, correction)), "mcd-step")
     return estimates
 
@@ -178,8 +185,9 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, c
     body = rows.filter("not base_failed").join(units, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
     all_units = F.array(name(F.lit("g"), F.col("lang"), F.col("source")), F.col("wide"), F.lit("all"))
     vectors = body.select(F.explode(all_units).alias("unit"), *STATISTICS).join(used, "unit", "left_semi")
-    estimates = robust_estimates(cut(vectors, "quality-vectors"))
-    judged = _distances(body.select(*held, "doc_id", "unit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), estimates)
+    few = used.count() <= BROADCAST
+    estimates = robust_estimates(cut(vectors, "quality-vectors"), few)
+    judged = _distances(body.select(*held, "doc_id", "unit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), estimates, few)
     worse = F.greatest(F.abs(F.col("z_0")), *(F.col(f"z_{i}") for i in range(1, len(STATISTICS))))
     judged = judged.withColumn("kept", ~((F.col("d2") > cutoff) & (worse * worse * len(STATISTICS) > cutoff)))
     columns = (*held, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -257,18 +257,22 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     for k in range(batches):
         family.add(suffixes.filter(F.pmod(F.xxhash64("tkey"), F.lit(batches)) == k).select("prefix"))
     # copies of a text sample the same suffixes: one row for all, with their number
-    matched = suffixes.join(family.repeated(), "prefix").groupBy("prefix", "context", "tkey", "pos", "back", "ahead").agg(F.count("*").alias("copies"))
-    matched = cut(matched, "suffix-matched")
+    # tables on the small side of joins: Spark splits a hot key only where both sides come straight from a shuffle
+    repeated = cut(family.repeated(), "suffix-repeated")
+    hits = cut(suffixes.join(repeated, "prefix"), "suffix-hits")
+    matched = cut(hits.groupBy("prefix", "context", "tkey", "pos", "back", "ahead").agg(F.count("*").alias("copies")), "suffix-matched")
+    forget(hits)
     # one row a context: at how many places its windows stand, and one suffix that shows its bytes
     kinds = matched.groupBy("prefix", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("tkey", "pos", "back", "ahead")).alias("one"))
     kinds = cut(kinds, "suffix-contexts")
     several = kinds.groupBy("prefix").agg(F.count("*").alias("crowd"), F.min("n").alias("least")).filter("crowd > 1 and least = 1").drop("least")
+    several = cut(several, "suffix-several")
     open_kinds = kinds.join(several, "prefix").select("prefix", "context", "crowd", "one.*")
     wanted = open_kinds.groupBy("tkey").agg(F.collect_list(F.struct("prefix", "context", "crowd", "pos", "back", "ahead")).alias("want"))
     # texts with a repeated prefix, once each: the only ones that may lose bytes
     touched = matched.select("tkey").distinct().join(wanted, "tkey", "left")
-    texts = rows.join(touched, "tkey").groupBy("tkey").agg(F.first("text").alias("text"), F.first("want").alias("want"))
-    texts = cut(texts, "suffix-texts")
+    # copies collapse in the tasks that read them, before the shuffle
+    texts = cut(rows.groupBy("tkey").agg(F.first("text").alias("text")).join(touched, "tkey"), "suffix-texts")
     bodies = texts.filter("want is not null").select("text", "want").mapInArrow(_contexts(span), "prefix long, context long, back int, ahead int, crowd long, body binary")
     bodies = cut(bodies, "suffix-bodies")
     calm = bodies.filter(F.col("crowd") <= hot).drop("crowd").repartition("prefix").sortWithinPartitions("prefix")
@@ -278,12 +282,13 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     crowded = windows.join(again, ["prefix", "digest"]).groupBy("prefix", "context").agg(F.collect_list("shift").alias("shifts")).mapInArrow(_fold, "prefix long, context long, first int, last int")
     whole = kinds.filter("n > 1").select("prefix", "context", (-F.col("one.back")).alias("first"), F.col("one.ahead").alias("last"))
     verdicts = found.union(crowded).union(whole).groupBy("prefix", "context").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    verdicts = cut(verdicts, "suffix-verdicts")
     spans = matched.select("tkey", "pos", "prefix", "context").join(verdicts, ["prefix", "context"])
     spans = spans.select("tkey", "pos", F.explode("runs").alias("r")).select("tkey", (F.col("pos") + F.col("r.first")).alias("start"), (F.col("pos") + F.col("r.last") + span).alias("stop"))
     spans = spans.groupBy("tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     gone = texts.select("tkey", "text").join(spans, "tkey").mapInArrow(_remove, "tkey binary, n_removed long, removed array<struct<start long, stop long>>, sha string")
     gone = cut(gone, "suffix-removed")
-    for done in (texts, bodies, matched, kinds, suffixes):
+    for done in (texts, bodies, matched, kinds, suffixes, verdicts):
         forget(done)
     facts = docs.select("doc_id", "tkey", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("full_sha"))
     out = facts.join(gone, "tkey", "left")

@@ -155,7 +155,9 @@ def test_quality_counts(docs, empty):
     assert QR.quality_rules(empty).count() == 0
 
 
-def test_quality_outliers(spark):
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_quality_outliers(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(QR, "BROADCAST", broadcast)
     rng = random.Random(1)
     good = [(k, prose(rng, rng.randint(60, 200), [f"w{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]), "en", "s", 0) for k in range(300)]
     junk = [(1000 + k, " ".join(f"{w}$$$" for w in prose(rng, 80, [f"w{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]).split()), "en", "s", 0) for k in range(60)]
