@@ -49,13 +49,17 @@ def _without(text: Column, chars: str) -> Column:
 def _repeated(words: Column) -> Column:
     """Words in five-word windows that occur twice or more in the text."""
 
+    def of_places(p: Column) -> Column:
+        # a repeated window adds the words that the repeated one before it doesn't cover
+        added = F.transform(p, lambda x, i: F.when(i == 0, 5).otherwise(F.least(F.lit(5), x - F.get(p, i - 1))))
+        return F.aggregate(added, F.lit(0), lambda n, x: n + x)
+
     def of_windows(w: Column) -> Column:
-        twice = let(F.array_sort(w), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
-        # a word at place p is covered by windows p-4..p; walk on with the last repeated window's place
-        step = lambda acc, x: F.struct((acc["n"] + F.when(x, 5 - F.greatest(F.lit(0), acc["open"])).otherwise(0)).alias("n"), F.when(x, F.lit(4)).otherwise(acc["open"] - 1).alias("open"))
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("open"))
-        count = let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0)).otherwise(F.aggregate(F.transform(w, lambda x: F.array_contains(t, x)), start, step, lambda acc: acc["n"])))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(count)
+        # equal windows are neighbours once sorted, so a text of any length takes n log n steps
+        order = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+        same = lambda s, x, k: F.get(s, k)["w"].eqNullSafe(x["w"])
+        twice = let(order, lambda s: F.transform(F.filter(s, lambda x, k: same(s, x, k - 1) | same(s, x, k + 1)), lambda x: x["i"]))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(F.array_sort(twice), of_places))
 
     hashes = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(5))))
     windows = let(F.transform(words, lambda w: F.xxhash64(w)), hashes)
