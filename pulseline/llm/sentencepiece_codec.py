@@ -3,9 +3,10 @@
 A text is cut where no piece crosses: before every run of spaces, at every line feed, and between a letter and a mark
 if no piece holds the two together. Each chunk is encoded by an
 agenda of candidate merges, best score first and leftmost among equals. With a dropout rate each candidate is skipped
-if a keyed hash of (seed, variant, chunk, place, lengths) falls under the rate; every occurrence of a chunk picks one of
-VARIANTS variants by a keyed hash of seed, text and place. So segmentations vary, every run with one seed gives the same
-ones, on any cluster, and chunks met before come from a memo (at most MEMO of each variant). With rate 0 the pieces are the library's own.
+if a keyed hash of (seed, text, chunk's place, candidate's place, lengths) falls under the rate, so every occurrence of a chunk has
+draws of its own, and every run with one seed gives the same pieces, on any cluster. What is free of draws comes from a memo: the
+candidates of a chunk in the order they come up while none is skipped, and likewise after given ones have been. An
+occurrence follows its own draws from one such list to the next; lists not met before are made. With rate 0 the pieces are the library's own.
 
 Characters without a piece become byte pieces, and so does a literal U+2581, which would otherwise come back
 as a space; thus decoding the pieces gives the text itself, byte for byte.
@@ -17,9 +18,9 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,18 +33,25 @@ from pyspark.sql import functions as F
 from . import bytes_np as B
 from .common import table
 
-DROPOUT, SEED, VARIANTS, MEMO = 0.1, 17, 2, 300_000
-SHORT, NEVER = 48, float("-inf")
+DROPOUT, SEED, MEMO = 0.1, 17, 400_000
+SHORT, LISTED, BLOCK, NEVER = 48, 32, 1 << 17, float("-inf")
 MARK = "▁"
 U = np.uint64
+FULL = (1 << 64) - 1
 CHUNK = re.compile(" +[^ \n]*|\n[^ \n]*")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
-def skipped(base: int, place: int, left: int, right: int) -> int:
-    """32 bits drawn for a candidate merge; base holds seed, variant and chunk."""
-    x = (base ^ (place * 0x9E3779B1 + left * 0x85EBCA77 + right * 0xC2B2AE3D)) * 0x2545F4914F6CDD1D
-    return (x ^ (x >> 29)) >> 16 & 0xFFFFFFFF
+def candidate(place: int, left: int, right: int) -> int:
+    return (place * 0x9E3779B97F4A7C15 + left * 0xC2B2AE3D27D4EB4F + right * 0x165667B19E3779F9) & FULL
+
+
+def drawn(base: int, code: int) -> int:
+    """32 bits drawn for a candidate merge; base holds seed, text and the chunk's place. The same as B.mix(base ^ code) >> 32."""
+    x = base ^ code
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & FULL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & FULL
+    return (x ^ (x >> 31)) >> 32
 
 
 class Model:
@@ -71,13 +79,15 @@ class Model:
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(bodies), np.uint8)
 
-    def encode_chunk(self, chunk: str, rate: float, key: int) -> list[int]:
-        """chunk: text without line feeds; its spaces become U+2581, a literal U+2581 goes out as bytes."""
+    def encode_chunk(self, chunk: str, rate: float, base: int, asked: list[int] | None = None, no: frozenset[int] = frozenset()) -> list[int]:
+        """chunk: text without line feeds; its spaces become U+2581, a literal U+2581 goes out as bytes.
+
+        With `asked` nothing is drawn: the candidates in `no` are skipped, and asked gets those that come up after the last of them.
+        """
         skip = int(rate * 2**32)
-        base = zlib.crc32(chunk.encode("utf-8", "surrogatepass"), key)
         odd = MARK in chunk or "\0" in chunk
         piece = [MARK if c == " " else "\0" if c == MARK else c for c in chunk] if odd else list(chunk.replace(" ", MARK))  # no piece holds a zero character
-        piece = self._by_scan(piece, skip, base) if len(piece) <= SHORT else self._by_heap(piece, skip, base)
+        piece = self._by_scan(piece, skip, base, asked, no) if len(piece) <= SHORT else self._by_heap(piece, skip, base)
         ids = self.ids
         try:
             return [ids[p] for p in piece]
@@ -93,7 +103,7 @@ class Model:
                 out += [self.byte[x] for x in (next(literal) if p == "\0" else p).encode("utf-8", "surrogatepass")]
         return out
 
-    def _by_scan(self, piece: list[str], skip: int, base: int) -> list[str]:
+    def _by_scan(self, piece: list[str], skip: int, base: int, asked: list[int] | None = None, no: frozenset[int] = frozenset()) -> list[str]:
         """The agenda of a short chunk: a list with the score of every neighbouring pair."""
         score = self.piece_score.get
         place = list(range(len(piece)))
@@ -104,9 +114,15 @@ class Model:
                 break
             i = agenda.index(best)
             left, right = piece[i], piece[i + 1]
-            if skip and skipped(base, place[i], len(left), len(right)) < skip:
-                agenda[i] = NEVER
-                continue
+            if skip:
+                code = candidate(place[i], len(left), len(right))
+                if code in no if asked is not None else drawn(base, code) < skip:
+                    agenda[i] = NEVER
+                    if asked:
+                        asked.clear()
+                    continue
+                if asked is not None:
+                    asked.append(code)
             piece[i] = left = left + right
             del piece[i + 1], place[i + 1], agenda[i]
             if i < len(agenda):
@@ -132,7 +148,7 @@ class Model:
             _, left, right, a, b = heapq.heappop(agenda)
             if len(piece[left]) != a or len(piece[right]) != b or after[left] != right:
                 continue
-            if skip and skipped(base, left, a, b) < skip:
+            if skip and drawn(base, candidate(left, a, b)) < skip:
                 continue
             piece[left] += piece[right]
             piece[right] = ""
@@ -157,50 +173,139 @@ class Model:
         return data[keep], starts - np.searchsorted(lead, starts)
 
 
-class Memo(dict):
-    """Chunk to packed ids. A key lacks the one space that its chunk starts with; one that starts with a line feed has
-    no space, and two line feeds stand for a chunk that starts with neither."""
+class Table:
+    """Rows of numbers of one kind, one after the other, that grows."""
+
+    def __init__(self, kind: str) -> None:
+        self.values, self.ends = array(kind), array("q", [0])
+
+    def add(self, row: list[int]) -> None:
+        self.values.extend(row)
+        self.ends.append(len(self.values))
+
+    def cut(self, rows: int) -> None:
+        del self.ends[rows + 1 :]
+        del self.values[self.ends[-1] :]
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these rows one after the other, and each row's size."""
+        ends = np.frombuffer(self.ends, np.int64)
+        starts, size = ends[which], ends[which + 1] - ends[which]
+        to = np.cumsum(size)
+        place = np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - size), size)
+        return np.frombuffer(self.values, self.values.typecode)[place], size
 
-    def __init__(self, model: Model, rate: float, key: int) -> None:
+
+class Steps(dict):
+    """(state, step) to the state in which that candidate is skipped as well."""
+
+    def __init__(self, memo: Memo) -> None:
         super().__init__()
-        self.model, self.rate, self.key = model, rate, key
+        self.memo = memo
+
+    def __missing__(self, key: int) -> int:
+        memo, (state, step) = self.memo, divmod(key, SHORT)
+        self[key] = new = memo.state(memo.chunk[state], memo.no[state] | {memo.asked.values[memo.asked.ends[state] + step]})
+        return new
+
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        if chunk.startswith("\n\n"):
-            ids = self.model.encode_chunk(chunk[2:], self.rate, self.key)
-        elif chunk.startswith("\n"):
-            ids = [self.model.byte[10], *self.model.encode_chunk(chunk[1:], self.rate, self.key)]
-        else:
-            ids = self.model.encode_chunk(" " + chunk, self.rate, self.key)
-        self[chunk] = packed = array("i", ids).tobytes()
-        return packed
+class Memo(dict):
+    """Chunk to its state in which no candidate is skipped; -1 for one of over LISTED characters, which has too many states to be met
+    again. A state has the candidates that come up next and the pieces if all of them are kept; no draws are in it.
+    A key lacks the one space that its chunk starts with; one that starts with a line feed has no space, and two line
+    feeds stand for a chunk that starts with neither."""
+
+    def __init__(self, model: Model, rate: float) -> None:
+        super().__init__()
+        self.model, self.rate, self.steps = model, rate, Steps(self)
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.steps.clear()
+        self.chunk: list[str] = []
+        self.no: list[frozenset[int]] = []
+        self.asked, self.pieces = Table("Q"), Table("i")
+
+    def __missing__(self, key: str) -> int:
+        self[key] = new = -1 if self.rate and len(key) > LISTED else self.state(key, frozenset())
+        return new
+
+    def state(self, key: str, no: frozenset[int]) -> int:
+        asked: list[int] = []
+        self.pieces.add(self.ids(key, 0, asked, no))
+        self.asked.add(asked)
+        self.chunk.append(key)
+        self.no.append(no)
+        return len(self.chunk) - 1
+
+    def ids(self, key: str, base: int, asked: list[int] | None = None, no: frozenset[int] = frozenset()) -> list[int]:
+        if key.startswith("\n\n"):
+            return self.model.encode_chunk(key[2:], self.rate, base, asked, no)
+        if key.startswith("\n"):
+            return [self.model.byte[10], *self.model.encode_chunk(key[1:], self.rate, base, asked, no)]
+        return self.model.encode_chunk(" " + key, self.rate, base, asked, no)
 
 
 class Encoder:
     def __init__(self, path: str, rate: float, seed: int) -> None:
-        self.model, self.seed = Model(path), seed
-        self.memos = [Memo(self.model, rate, zlib.crc32(b"%d,%d" % (seed, v))) for v in range(VARIANTS if rate else 1)]
+        self.model, self.skip, self.seed = Model(path), int(rate * 2**32), b"%d" % seed
+        self.memo = Memo(self.model, rate)
 
-    def encode(self, text: str) -> bytes:
+    def keys(self, text: str) -> list[str]:
+        """The chunks of a text, as Memo names them."""
         if not text:
-            return b""
+            return []
         line, cut = " " + text, self.model.cut
         if "  " in line or " \n" in line:
             keys = []
             for k in CHUNK.findall(line):
                 first, *rest = cut.split(k if k[0] == "\n" else k[1:])
                 keys += [first, *("\n\n" + mark + body for mark, body in zip(rest[::2], rest[1::2], strict=True))]
-        else:
-            keys = cut.sub(" \n\n\\1", line.replace("\n", " \n")).split(" ")[1:]
-        if len(self.memos) == 1:
-            memo = self.memos[0]
-            return b"".join([memo[k] for k in keys])
-        start = U(zlib.crc32(text.encode("utf-8", "surrogatepass"), self.seed))
-        picks = B.mix((start << U(32)) + np.arange(len(keys), dtype=np.uint64)) % U(VARIANTS)
-        memos = self.memos
-        return b"".join([memos[v][k] for v, k in zip(picks.tolist(), keys, strict=True)])
+            return keys
+        return cut.sub(" \n\n\\1", line.replace("\n", " \n")).split(" ")[1:]
+
+    def bases(self, text: str, n: int) -> np.ndarray:
+        """A number for each of the n chunks of a text, that its draws are made from."""
+        name = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=self.seed).digest()
+        return B.mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(int.from_bytes(name, "little")))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        chunks = [self.keys(t) for t in texts]
+        counts = np.array([len(c) for c in chunks], np.int64)
+        keys = [k for c in chunks for k in c]
+        bases = [self.bases(t, len(c)) for t, c in zip(texts, chunks, strict=True) if c] if self.skip else []
+        base = np.concatenate(bases) if bases else np.zeros(len(keys), np.uint64)
+        parts = [self._block(keys[i : i + BLOCK], base[i : i + BLOCK]) for i in range(0, len(keys), BLOCK)]
+        if not parts:
+            return np.zeros(0, np.int32), counts
+        sizes = np.concatenate([size for _, size in parts])
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))]
+        return np.concatenate([flat for flat, _ in parts]), np.diff(ends)
+
+    def _block(self, keys: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these chunks, and how many each has."""
+        memo = self.memo
+        if len(memo.chunk) + len(memo) >= MEMO:
+            memo.clear()
+        state = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))
+        live = np.flatnonzero(state >= 0) if self.skip else np.zeros(0, np.int64)
+        while len(live):
+            code, size = memo.asked.rows(state[live])
+            row = np.repeat(np.arange(len(live)), size)
+            skips = np.flatnonzero(B.mix(base[live][row] ^ code) >> U(32) < U(self.skip))
+            row, first = np.unique(row[skips], return_index=True)  # the first skip of each
+            step = skips[first] - (np.cumsum(size) - size)[row]
+            live = live[row]
+            state[live] = np.fromiter(map(memo.steps.__getitem__, (state[live] * SHORT + step).tolist()), np.int64, len(live))
+        known = len(memo.chunk)
+        for i in np.flatnonzero(state < 0).tolist():
+            state[i] = len(memo.pieces.ends) - 1
+            memo.pieces.add(memo.ids(keys[i], int(base[i])))
+        out = memo.pieces.rows(state)
+        memo.pieces.cut(known)
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -224,9 +329,7 @@ def _encode(columns: list[str], name: str, rate: float, seed: int, check: bool):
             for i, j in B.chunks(at, 1 << 21):
                 batch = whole.slice(i, j - i)
                 text = batch.column("text")
-                packed = [own.encode(t or "") for t in text.to_pylist()]
-                size = np.array([len(p) // 4 for p in packed], np.int64)
-                flat = np.frombuffer(b"".join(packed), np.int32)
+                flat, size = own.encode([t or "" for t in text.to_pylist()])
                 starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
                 valid = pa.array(np.append(~text.is_null().to_numpy(zero_copy_only=False), True))
                 offsets = pa.array(starts.astype(np.int32), mask=~valid.to_numpy(zero_copy_only=False)) if text.null_count else pa.array(starts.astype(np.int32))

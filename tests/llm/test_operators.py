@@ -243,6 +243,23 @@ def test_sentencepiece_agendas_agree():
             assert model._by_scan(list(word), skip, 5) == model._by_heap(list(word), skip, 5)
 
 
+def test_sentencepiece_every_occurrence_draws():
+    pytest.importorskip("sentencepiece")
+    own = SP.Encoder(SP.model_path("piece_bpe_32k.model"), 0.1, 17)
+    texts = ["international " * 3000, "", "understanding, of\nthe  international " * 40 + "x" * 100, "understanding"]
+    flat, size = own.encode(texts)
+    want = []
+    for t in texts:
+        keys = own.keys(t)
+        each = [own.memo.ids(k, int(b)) for k, b in zip(keys, own.bases(t, len(keys)), strict=True)]  # without the memo's states
+        want.append([x for e in each for x in e])
+    assert size.tolist() == [len(w) for w in want]
+    assert flat.tolist() == [x for w in want for x in w]
+    keys = own.keys(texts[0])
+    ways = {tuple(own.memo.ids(k, int(b))) for k, b in zip(keys, own.bases(texts[0], len(keys)), strict=True) if k == "international"}
+    assert len(ways) > 10
+
+
 def test_importance(spark, empty):
     rng = random.Random(8)
     good = [(k, prose(rng, 80, ["river", "stone", "green", "walks", "over", "under"]), "en", "s", 0) for k in range(80)]
