@@ -1,18 +1,20 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become tokens: words in lower case, and slots, which are numbers, names (a capitalised word that doesn't start
-a sentence) and units (a unit word after a number). A template replaces each slot by its type. Windows of WINDOW
+Texts become tokens: words in lower case, and slots, which are numbers, names (any word of a capital and a small letter,
+whatever stands before it) and units (a unit word after a number). A template replaces each slot by its type. Windows of WINDOW
 template tokens are hash-joined with the windows of all benchmark items. Hits on one diagonal (same distance between
 document and item place) are an aligned passage; its slots must be consistent: one value of the item always
 stands for one value of the document, so that a question with other numbers or names is found, while chance
-fillings of a shared template are not. A pair is a leak if consistent passages cover at least COVERAGE of the item's windows.
+fillings of a shared template are not. Next to it windows of plain tokens, words and numbers in lower case without slots, are
+joined alike, so a copy word by word counts in any case and layout. A pair is a leak if consistent passages of either kind cover at least
+COVERAGE of the item's template windows, or of its plain ones.
 
 The benchmark's windows are broadcast only if their count is at most BROADCAST; else both sides are shuffled by
 window. Documents are exploded to windows next to the scan and only hits move. Values of slots are looked up for
 hits on windows with slots alone.
 
 Edge cases: null and empty texts have no windows and never leak; so have items and documents of fewer than WINDOW
-tokens, and windows with fewer than LITERALS words of their own never count. A repeated row gives the same pairs once
+tokens, and template windows with fewer than LITERALS words of their own never count (plain windows always do). A repeated row gives the same pairs once
 per distinct (doc_id, text); a null doc_id gives pairs with a null doc_id. Repeated items each give their pairs. Extra columns
 are not read; an empty table on either side gives an empty result.
 """
@@ -35,7 +37,7 @@ UNITS = (
 
 def _tokens(text: Column) -> Column:
     """Words and slots in order; a name carries the mark NAME in front."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?=\p{Ll})(?<=[\p{L}\p{N},;)] \p{Lu})", NAME + "$0")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<![\p{L}\p{M}\p{N}])\p{Lu}(?=\p{Ll})", NAME + "$0")
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"[0-9]+(?:[.,:/][0-9]+)*|{NAME}?\p{{L}}[\p{{L}}\p{{M}}\p{{N}}]*"), F.lit(0))
 
 
@@ -50,16 +52,26 @@ def _kind(tokens: Column, token: Column, i: Column) -> Column:
     return F.when(plain, token).when(token < "\x02", F.lit(NAME)).when(_is_number(token), F.lit(NUMBER)).when(unit, F.lit(UNIT)).otherwise(token)
 
 
+def _plain(token: Column) -> Column:
+    return F.ltrim(token, F.lit(NAME))
+
+
 def _windows(tokens: DataFrame, place: str) -> DataFrame:
-    """A row for each place that WINDOW template tokens start at, with their hash; the other columns of tokens stay.
+    """Two rows for each place that WINDOW tokens start at, with the hash of the template's tokens and, if `plain`, of the plain ones; the
+    other columns of tokens stay.
 
-    The hashes of single tokens are an array column; windows are made from it row by row, behind the explode, where
+    The hashes of single tokens are array columns; windows are made from them row by row, behind the explode, where
     they are compiled code and feed the join without being stored.
     """
     hashes = tokens.withColumn("_h", F.transform("tokens", lambda x, i: F.xxhash64(_kind(F.col("tokens"), x, i))))
+    hashes = hashes.withColumn("_p", F.transform("tokens", lambda x: F.xxhash64(_plain(x))))
     starts = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW))
     rows = hashes.select("*", F.explode(starts).alias(place))
-    return rows.withColumn("window", F.xxhash64(*(F.get("_h", F.col(place) + k) for k in range(WINDOW)))).drop("_h")
+    typed = F.xxhash64(*(F.get("_h", F.col(place) + k) for k in range(WINDOW)))
+    plain = F.xxhash64(F.lit("plain"), *(F.get("_p", F.col(place) + k) for k in range(WINDOW)))
+    rows = rows.select("*", typed.alias("_t"), plain.alias("_w")).drop("_h", "_p")
+    both = F.array(F.struct(F.lit(False).alias("plain"), F.col("_t").alias("window")), F.struct(F.lit(True).alias("plain"), F.col("_w").alias("window")))
+    return rows.select("*", F.inline(both)).drop("_t", "_w")
 
 
 def _slots(tokens: Column, start: Column) -> Column:
@@ -70,11 +82,11 @@ def _slots(tokens: Column, start: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, window, item_pos, n_windows, slots): each window of each item with enough words of its own."""
+    """(item, item_id, plain, window, item_pos, slots, n_windows, n_plain): each plain window of each item, and each of the template with enough words of its own."""
     items = benchmark.select("item_id", "text").distinct().select(F.struct("item_id", "text").alias("_i"), _tokens(F.col("text")).alias("tokens"))
-    items = _windows(items, "item_pos").select(F.xxhash64("_i.item_id", "_i.text").alias("item"), F.col("_i.item_id").alias("item_id"), "tokens", "item_pos", "window")
-    rows = items.withColumn("slots", _slots(F.col("tokens"), F.col("item_pos"))).filter(WINDOW - F.size("slots") >= LITERALS).drop("tokens")
-    sizes = rows.groupBy("item").agg(F.count("*").alias("n_windows")).withColumnRenamed("item", "_item")
+    items = _windows(items, "item_pos").select(F.xxhash64("_i.item_id", "_i.text").alias("item"), F.col("_i.item_id").alias("item_id"), "tokens", "item_pos", "plain", "window")
+    rows = items.withColumn("slots", F.when(F.col("plain"), F.array().cast("array<string>")).otherwise(_slots(F.col("tokens"), F.col("item_pos")))).filter(WINDOW - F.size("slots") >= LITERALS).drop("tokens")
+    sizes = rows.groupBy("item").agg(F.count_if(~F.col("plain")).alias("n_windows"), F.count_if("plain").alias("n_plain")).withColumnRenamed("item", "_item")
     return rows.join(sizes, F.col("item") == F.col("_item")).drop("_item")
 
 
@@ -83,12 +95,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
     known = cut(benchmark_windows(benchmark), "benchmark-windows")
     n, with_slots = known.agg(F.count("*"), F.coalesce(F.sum((F.size("slots") > 0).cast("int")), F.lit(0))).first()
-    small = known.select("window", "item", "item_pos", (F.size("slots") > 0).alias("slotted"))
+    small = known.select("window", "plain", "item", "item_pos", (F.size("slots") > 0).alias("slotted"))
     tokens = docs.select("doc_id", "tkey", _tokens(F.col("text")).alias("tokens"))
-    rows = _windows(tokens, "doc_pos").select("doc_id", "tkey", "doc_pos", "window")
-    hits = rows.join(F.broadcast(small) if n <= BROADCAST else small, "window").select("doc_id", "tkey", "doc_pos", "item", "item_pos", "slotted")
+    rows = _windows(tokens, "doc_pos").select("doc_id", "tkey", "doc_pos", "plain", "window")
+    hits = rows.join(F.broadcast(small) if n <= BROADCAST else small, ["window", "plain"]).select("doc_id", "tkey", "doc_pos", "plain", "item", "item_pos", "slotted")
     hits = cut(hits.distinct(), "leak-hits")
-    key = ["doc_id", "tkey", "item", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")]
+    key = ["doc_id", "tkey", "item", "plain", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")]
     passages = hits.groupBy(*key).agg(F.collect_set("item_pos").alias("places"))
     if with_slots:
         slotted = hits.filter("slotted")
@@ -97,18 +109,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         values = found.select("w_id", "w_key", F.explode(F.transform("at", lambda p: F.struct(p.alias("p"), _slots(F.col("tokens"), p).alias("own")))).alias("v"))
         values = values.select("w_id", "w_key", F.col("v.p").alias("w_pos"), F.col("v.own").alias("own")).distinct()
         pairs = slotted.join(values, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tkey") == F.col("w_key")) & (F.col("doc_pos") == F.col("w_pos")))
-        pairs = pairs.join(known.select(F.col("item").alias("k_item"), F.col("item_pos").alias("k_pos"), "slots"), (F.col("item") == F.col("k_item")) & (F.col("item_pos") == F.col("k_pos")))
+        pairs = pairs.join(known.filter(~F.col("plain")).select(F.col("item").alias("k_item"), F.col("item_pos").alias("k_pos"), "slots"), (F.col("item") == F.col("k_item")) & (F.col("item_pos") == F.col("k_pos")))
         pairs = pairs.select(*key, F.explode(F.arrays_zip("slots", "own")).alias("s"))
         # consistent: no value of the item stands for two values of the document on one diagonal
         each = pairs.groupBy("doc_id", "tkey", "item", "diagonal", F.col("s.slots").alias("value")).agg(F.count_distinct("s.own").alias("n"), F.bool_and(F.col("s.own") == F.col("s.slots")).alias("same"))
         good = each.groupBy(F.col("doc_id").alias("g_id"), F.col("tkey").alias("g_key"), F.col("item").alias("g_item"), F.col("diagonal").alias("g_diag")).agg(F.max("n").alias("n"), F.bool_and("same").alias("same"))
-        on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tkey") == F.col("g_key")) & (F.col("item") == F.col("g_item")) & (F.col("diagonal") == F.col("g_diag"))
+        on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tkey") == F.col("g_key")) & (F.col("item") == F.col("g_item")) & (F.col("diagonal") == F.col("g_diag")) & ~F.col("plain")
         passages = passages.join(good, on, "left").filter("n is null or n = 1").withColumn("same", F.coalesce("same", F.lit(True)))
     else:
         passages = passages.withColumn("same", F.lit(True))
-    covered = passages.select("doc_id", "tkey", "item", "same", F.explode("places").alias("place")).groupBy("doc_id", "tkey", "item").agg(F.count_distinct("place").cast("long").alias("matched"), F.bool_and("same").alias("verbatim"))
-    sizes = known.select("item", "item_id", "n_windows").distinct()
-    return covered.join(F.broadcast(sizes) if n <= BROADCAST else sizes, "item").filter(F.col("matched") >= F.col("n_windows") * coverage).select("doc_id", "tkey", "item_id", "matched", "n_windows", "verbatim")
+    places = passages.select("doc_id", "tkey", "item", "plain", "same", F.explode("places").alias("place")).groupBy("doc_id", "tkey", "item", "place")
+    places = places.agg(F.bool_or("plain").alias("plain"), F.bool_or(F.col("plain") | F.col("same")).alias("same"))
+    typed = known.filter(~F.col("plain")).select(F.col("item").alias("t_item"), F.col("item_pos").alias("t_pos"))
+    typed = F.broadcast(typed) if n <= BROADCAST else typed
+    places = places.join(typed, (F.col("item") == F.col("t_item")) & (F.col("place") == F.col("t_pos")), "left")
+    covered = places.groupBy("doc_id", "tkey", "item").agg(F.count("t_pos").alias("matched"), F.count("*").alias("all_matched"), F.bool_and("same").alias("verbatim"))
+    sizes = known.select("item", "item_id", "n_windows", "n_plain").distinct()
+    found = covered.join(F.broadcast(sizes) if n <= BROADCAST else sizes, "item")
+    by_type = (F.col("n_windows") > 0) & (F.col("matched") >= F.col("n_windows") * coverage)
+    found = found.withColumn("_typed", by_type).filter(F.col("_typed") | (F.col("all_matched") >= F.col("n_plain") * coverage))
+    # counted over the template's windows, or over all where these alone do not show the leak
+    either = lambda a, b: F.when(F.col("_typed"), F.col(a)).otherwise(F.col(b)).alias(a)
+    return found.select("doc_id", "tkey", "item_id", either("matched", "all_matched"), either("n_windows", "n_plain"), "verbatim")
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,23 @@ def test_decontamination(spark, docs, empty):
     assert "PythonUDF" not in plan
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_decontamination_any_layout(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(DC, "BROADCAST", broadcast)
+    item = "Alice has 5 apples and buys more. Bob has 3 apples less than she has now. How many apples do they have?"
+    numbers = "Add 1 2 3 4 5 6 7 8 9 10 11 12"
+    other = item.replace("Alice", "Maria").replace("5", "9").replace("Bob", "Tom").replace("3", "4")
+    texts = [item, item.upper(), item.lower(), item.replace(" ", "\n"), item.replace(" Bob", "\n  Bob"), "So:\n" + other, other.replace(". ", ".\n\n"), other.replace("Tom has", "Maria has"), "They said " + numbers.lower()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in DC.decontaminate(rows, bench).collect()}
+    assert {k for k, r in got.items() if r.verbatim} >= {(k, 1) for k in range(5)} | {(8, 2)}
+    assert not got[(5, 1)].verbatim
+    assert not got[(6, 1)].verbatim
+    assert all(0 < r.matched <= r.n_windows for r in got.values())
+    assert all(got[(k, 1)].matched == got[(0, 1)].matched for k in (3, 4))
+
+
 def test_shuffled_benchmark(spark, monkeypatch):
     monkeypatch.setattr(DC, "BROADCAST", 0)
     text = " ".join(f"word{chr(97 + k)}" for k in range(20))
