@@ -1,7 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k sampling.
 
 Words (lower case) and pairs of neighbours are hashed into BUCKETS. Two smoothed bag models are counted: raw text
-over every document, target text over at most TARGET_ROWS documents labelled good, chosen by a hash of doc_id. A document's
+over every document, target text over every document labelled good. A document's
 log weight is the sum over its n-grams of log target share minus log raw share. Each adds a Gumbel variate drawn from a
 keyed hash of doc_id and text, and the k greatest sums are kept, k being the share KEEP of all rows: sampling without
 replacement in proportion to the weights. The k-th sum is found by counting ever finer ranges, so nothing is sorted
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bytes_np as B
 from .common import cut, table
 
-BUCKETS, TARGET_ROWS, KEEP, SEED = 1 << 14, 20_000, 0.85, 9
+BUCKETS, KEEP, SEED = 1 << 14, 0.85, 9
 U = np.uint64
 PAIR = U(0x9E3779B97F4A7C15)
 
@@ -87,12 +87,10 @@ def kth_greatest(keys: DataFrame, k: int, ranges: int = 4096) -> int:
     return low
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, target_rows: int = TARGET_ROWS, seed: int = SEED) -> DataFrame:
+def importance_sample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """(doc_id, n_grams, log_weight, kept) for each row of docs(doc_id, text)."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("g_id")).distinct()
-    share = min(1.0, 0.97 * target_rows / max(good.count(), 1))
-    good = good.filter(F.pmod(F.xxhash64("g_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(target_rows)
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("g_id"), "left").select("text", F.col("g_id").isNotNull().alias("target"))
+    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("g_id"), "left").select("text", F.col("g_id").isNotNull().alias("target"))
     counts = marked.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts:

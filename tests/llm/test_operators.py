@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -292,6 +293,16 @@ def test_importance(spark, empty):
     assert sum(r.kept for r in IM.importance_sample(docs, labels.limit(0), keep=0.5).collect()) == round(0.5 * 101)
 
 
+def test_importance_counts_every_good_row(spark):
+    n = 20_500  # "river" is good alone, in more rows than a sample of 20,000 holds
+    docs = spark.range(2 * n).selectExpr("id doc_id", f"if(id < {n}, 'river', 'stone') text")
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")
+    weight = {r.doc_id < n: r.log_weight for r in IM.importance_sample(docs, labels).collect()}
+    total = lambda rows: rows + IM.BUCKETS
+    assert weight[True] == pytest.approx(math.log((n + 1) / total(n)) - math.log((n + 1) / total(2 * n)), abs=1e-9)
+    assert weight[False] == pytest.approx(math.log(1 / total(n)) - math.log((n + 1) / total(2 * n)), abs=1e-9)
+
+
 def test_kth_greatest(spark):
     rng = random.Random(0)
     values = [rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(500)] + [7] * 20 + [-(1 << 63), (1 << 63) - 1]
