@@ -74,10 +74,10 @@ def kth_greatest(keys: DataFrame, k: int, ranges: int = 4096) -> int:
     """The k-th greatest value of column key (long), by counts of ever finer ranges."""
     low, width = -(1 << 63), 1 << 64
     while width > 1:
+        high = low + width  # where the range found before ends
         width //= ranges if width >= ranges else width
         step = F.floor((F.col("key").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
-        high = low + width * ranges
-        inside = keys.filter((F.col("key") >= low) & (F.col("key") <= min(high, 1 << 63) - 1))
+        inside = keys.filter((F.col("key") >= low) & (F.col("key") <= high - 1))
         counts = {r["at"]: r["n"] for r in inside.groupBy(step.alias("at")).agg(F.count("*").alias("n")).collect()}
         for at in sorted(counts, reverse=True):
             if k <= counts[at]:

@@ -311,6 +311,13 @@ def test_kth_greatest(spark):
         assert IM.kth_greatest(keys, k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_kth_greatest_of_close_keys(spark):
+    values = [1000 + 24 * k for k in range(200)]
+    keys = spark.createDataFrame([(v,) for v in values], "key long")
+    for k in (1, 2, 100, 200):
+        assert IM.kth_greatest(keys, k) == sorted(values, reverse=True)[k - 1]
+
+
 def test_toxicity(spark, empty):
     import zlib
 
