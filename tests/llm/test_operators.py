@@ -85,6 +85,13 @@ def test_near_dedup(docs, percent, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("share", [0.85, 0.8])
+def test_near_dedup_estimate_loses_little(share):
+    n = ND.TREES * ND.DEPTH
+    lost = sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1) if k < (share - ND.SLACK) * n)
+    assert lost < 1e-5
+
+
 def test_near_dedup_empty(empty):
     assert ND.near_duplicates(empty).count() == 0
 
