@@ -43,6 +43,23 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def packed(docs: DataFrame, need: list[str], name: str) -> DataFrame:
+    """The columns of docs in need, and all others as one struct column `name`, so that no name of theirs meets one of ours."""
+    return docs.select(*need, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in need), F.lit(0).alias("_end")).alias(name))
+
+
+def unpacked(rest: str, columns: list[str], results: list[str]) -> list[Column]:
+    """The fields `columns` of struct column rest as columns of their own; one named like a result gets `_in` at its end, as often as needed."""
+    taken, out = {c.lower() for c in results}, []
+    for c in columns:
+        new = c
+        while new.lower() in taken:
+            new += "_in"
+        taken.add(new.lower())
+        out.append(F.col(rest)[c].alias(new))
+    return out
+
+
 def text_key(text: Column) -> Column:
     """16-byte digest of a text; null stays null."""
     return F.unhex(F.md5(text.cast("binary")))

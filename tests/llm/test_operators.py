@@ -127,14 +127,65 @@ def test_suffix_levels(spark):
     assert {r.prefix for r in family.repeated().collect()} == {v for v, n in want.items() if n > 1}
 
 
+def by_lines(data, least):
+    """Rows (doc_id, text) to (doc_id, left, removed spans), by the definition."""
+    cut = lambda t: [m[0] for m in re.finditer(r"(?:[^\n.!?]|[.!?]+[^\s.!?])*[.!?]*\s*", t) if m[0]]
+    name = lambda u: " ".join(u.lower().split())
+    seen, out = set(), []
+    for i, t in data:
+        at, run, gone = 0, [], []
+        for u in [*cut(t or ""), "\0"]:
+            if name(u) in seen and u != "\0":
+                run.append((at, at + len(u), len(u.split())))
+            else:
+                if sum(n for _, _, n in run) >= least:
+                    gone.append((run[0][0], run[-1][1]))
+                run = []
+            seen.add(name(u) or None)
+            at += len(u)
+        seen.discard("\0")
+        left = None if t is None else "".join(c for k, c in enumerate(t) if not any(x <= k < y for x, y in gone))
+        out.append((i, left, ",".join(f"{x}-{y}" for x, y in gone)))
+    return out
+
+
 def test_line_dedup(spark, empty):
-    text = ["Same line of five words\nshort\nother line of five words", "same  LINE of five words \nshort\nshort", None, "", "Same line of five words", "same line of five words"]
-    docs = spark.createDataFrame([(k, t, "keep") for k, t in zip([5, 6, 7, 8, None, 6], text, strict=True)], "doc_id long, text string, n_removed string").coalesce(1)
-    out = [(r.doc_id, r.text, r.n_lines, r.n_removed, r.removed_spans) for r in LD.dedup_lines(docs.drop("n_removed")).collect()]
-    want = [(5, text[0], 3, 0, ""), (6, "short\nshort", 3, 1, "0-25"), (7, None, 0, 0, ""), (8, "", 0, 0, ""), (None, "", 1, 1, "0-23"), (6, "", 1, 1, "0-23")]
-    assert sorted(map(str, out)) == sorted(map(str, want))
+    rng = random.Random(12)
+    stock = ["All rights reserved by them.", "Was it so?", "One two three four five six seven\n", "An end... ", "x.y is 3.5 of it! "]
+    passage = " ".join(prose(rng, 9).capitalize().replace(".", "") + rng.choice([".", "!", "?\n", "...\n\n"]) for _ in range(8))
+    texts = ["".join(rng.choice([*stock, prose(rng, 8) + ". "]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [f"{t[: len(t) // 2]} {passage} {t[len(t) // 2 :]}" if k % 5 == 0 else t for k, t in enumerate(texts)]
+    texts += [None, "", " \n ", "?!. \n", passage.upper(), passage.replace(" ", "  "), (prose(rng, 30) + ". ") * 3000, "word " * 30_000]
+    data = list(enumerate(texts))
+    docs = spark.createDataFrame([(k, t, f"keep{k}", k) for k, t in data], "doc_id long, text string, n_removed string, `N_Units` long").repartition(5)
+    out = LD.dedup_lines(docs, least=15)
+    assert out.columns == ["doc_id", "text", *LD.RESULTS, "n_removed_in", "N_Units_in"]
+    out = out.collect()
+    assert sorted((r.doc_id, r.text, r.removed_spans) for r in out if r.text is not None) == sorted(x for x in by_lines(data, 15) if x[1] is not None)
+    assert all((r.n_removed_in, r.N_Units_in) == (f"keep{r.doc_id}", r.doc_id) for r in out)
+    assert sum(r.n_removed > 0 for r in out) >= 14
+    assert [r.text for r in out if r.doc_id == 60] == [None]
+
+
+def test_line_dedup_odd_rows(spark, empty):
+    long = " ".join(f"w{k}" for k in range(25))
+    rows = [(6, "b " + long), (6, long), (6, long), (None, long), (None, None)]
+    ways = set()
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        ways.add(str(sorted(str((r.doc_id, r.text)) for r in LD.dedup_lines(docs).collect())))
+    assert ways == {str(sorted(map(str, [(6, "b " + long), (6, long), (6, ""), (None, ""), (None, None)])))}
     assert LD.dedup_lines(empty).count() == 0
     assert {"lang", "n_chars"} <= set(LD.dedup_lines(empty).columns)
+    odd = spark.createDataFrame([(1, long, 2, 3)], "doc_id long, text string, _u_row int, digest int")
+    assert LD.dedup_lines(odd).select("_u_row", "digest").first() == (2, 3)
+
+
+def test_line_dedup_hot_unit(spark, monkeypatch):
+    monkeypatch.setattr(LD, "HOT", 2)  # a unit in over half of all is joined by broadcast
+    line = " ".join(f"w{k}" for k in range(25))
+    docs = spark.createDataFrame([(k, line) for k in range(200)] + [(1000 + k, f"some other {k} " + line + f" {k // 2}") for k in range(60)], "doc_id long, text string")
+    assert {r.doc_id for r in LD.dedup_lines(docs).filter("n_removed > 0").collect()} == set(range(1, 200))
 
 
 def test_token_counts(docs, empty):
