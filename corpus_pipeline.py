@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.llm.common import cut, row_key, table, text_key
+from pulseline.llm.common import cut, forget, row_key, table, text_key
 from pulseline.llm.decontaminate import decontaminate
 from pulseline.llm.line_dedup import dedup_lines
 from pulseline.llm.near_dedup import near_duplicates
@@ -21,7 +21,8 @@ from pulseline.llm.sentencepiece_codec import encode
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_k", row_key(F.col("doc_id"), text_key(F.col("text"))))
+    """Each row of docs whole, as struct doc, beside its key: no name of its columns meets one of ours."""
+    return docs.select(row_key(F.col("doc_id"), text_key(F.col("text"))).alias("_k"), F.struct("*").alias("doc"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,27 +33,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the least id.
 
+    Of rows with that id and text the one with the least hash of all its columns stays, then the least n_chars, lang and source.
     Documents without words are linked with nothing and stay.
     """
     found = near_duplicates(docs, percent=80).filter("kept and comp is not null")
     first = found.groupBy("comp").agg(F.min(row_key(F.col("doc_id"), F.col("tkey"))).alias("_k")).select("_k")
-    stay = _keyed(docs).join(first, "_k").dropDuplicates(["_k"]).select(docs.columns)
+    order = F.struct(F.xxhash64("doc"), "doc.n_chars", "doc.lang", "doc.source")
+    stay = _keyed(docs).join(first, "_k").groupBy("_k").agg(F.min_by("doc", order).alias("doc")).select("doc.*")
     return stay.union(docs.filter(F.length(F.translate(F.coalesce("text", F.lit("")), BLANK, "")) == 0))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand in an earlier one, or earlier in the same; n_chars is counted anew."""
-    rest = [c for c in docs.columns if c != "text"]
-    out = dedup_lines(docs.select("doc_id", "text", F.struct(*rest).alias("_rest")))
+    """Documents without the passages of lines and sentences that stand in an earlier one, or earlier in the same; n_chars is counted anew."""
+    out = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_whole")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return out.select(*(new[c] if c in new else F.col(f"_rest.{c}") for c in docs.columns))
+    return out.select(*(new.get(c, F.col("_whole")[c].alias(c)) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item leaks into."""
     leaks = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     leaks = leaks.select(row_key(F.col("doc_id"), F.col("tkey")).alias("_k")).distinct()
-    return _keyed(docs).join(leaks, "_k", "left_anti").select(docs.columns)
+    return _keyed(docs).join(leaks, "_k", "left_anti").select("doc.*")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,6 +76,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
