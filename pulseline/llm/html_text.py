@@ -11,7 +11,8 @@ one space, blocks trimmed and joined by two line feeds in page order. Scripts, s
 markup and the head never make blocks.
 
 Edge cases: null and empty html, and html without text, give an empty string and n_chars 0. Markup may be broken:
-unclosed tags end with their parent, an unclosed comment or script ends with the page, a lone < is text. Rows
+unclosed tags end with their parent, an unclosed comment, script or tag takes the rest of the page, a lone < is text. Time is
+linear in a page's length, however deep its elements and however broken its tags. Rows
 are extracted one by one, so repeated rows give equal results; null ids and urls are carried along; extra columns are
 not read. An empty table gives an empty result.
 """
@@ -22,6 +23,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,11 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 TRAIN_PAGES, EPOCHS, SEED = 500, 6, 5
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|canvas|object|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:[\"'][^>]*+)?)>|<[!?/][^>]*>?|[^<]+|<",
-    re.S | re.I,
-)
+TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile("[>\"']")
+#: Elements whose content is no text of the page.
+DROPPED = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in "script style template noscript iframe svg canvas object title textarea".split()}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 BLOCKS = frozenset("html head body article section main nav header footer aside div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption form fieldset legend button select option label details summary dialog address hr menu center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,8 +60,8 @@ def _attributes(raw: str) -> tuple[frozenset[str], int | None, bool]:
     label, hidden = None, False
     for name, a, b, c in ATTRIBUTE.findall(raw):
         value, name = a or b or c, name.lower()
-        if name == "data-main":
-            label = int(value)
+        if name == "data-main":  # read in training alone
+            label = 1 if value == "1" else 0
         elif name == "hidden" or name == "aria-hidden":
             hidden |= name == "hidden" or value == "true"
         else:
@@ -100,67 +101,150 @@ def _shape(text: str, linked: int, words: int) -> list[str]:
     return out
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    stack: list[tuple[str, str, tuple[str, ...], int | None]] = []
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, body) of a page: ("text", "", text), ("open", tag, attributes) or ("close", tag, "").
+
+    Each tag ends at the first > outside quotes, or at the first > if a quote isn't closed; without any it takes the rest of the page.
+    Where the scan from a place leads is kept, so no part of a page is scanned again for each tag before it.
+    """
+    find, n = page.find, len(page)
+    known: dict[int, int] = {}
+    unclosed = {'"': n + 1, "'": n + 1}  # no such quote from here on
+
+    def end_of_tag(at: int) -> int:
+        way = []
+        while at not in known:
+            way.append(at)
+            m = SPECIAL.search(page, at)
+            if m is None or m[0] == ">":
+                known[at] = m.start() if m else -1
+                break
+            quote, inner = m[0], m.end()
+            stop = find(quote, inner) if inner < unclosed[quote] else -1
+            if stop < 0:
+                unclosed[quote] = min(unclosed[quote], inner)
+                known[at] = -1
+                break
+            at = stop + 1
+        for step in way:
+            known[step] = known[at]
+        return known[at]
+
+    at = 0
+    while at < n:
+        lt = find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if lt == n:
+            return
+        m = TAG.match(page, lt + 1)
+        if m is None:
+            if page.startswith("<!--", lt):
+                stop = find("-->", lt + 4)
+                at = stop + 3 if stop >= 0 else n
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/") and lt + 1 < n:
+                stop = find(">", lt)
+                at = stop + 1 if stop >= 0 else n
+            else:
+                yield "text", "", "<"
+                at = lt + 1
+            continue
+        stop = end_of_tag(m.end())
+        if stop < 0:
+            stop = find(">", m.end())
+        if stop < 0:
+            return
+        tag, body, at = m[2].lower(), page[m.end() : stop], stop + 1
+        if m[1]:
+            yield "close", tag, ""
+        elif tag not in DROPPED:
+            yield "open", tag, body
+        elif not (tag == "svg" and body.endswith("/")):
+            close = DROPPED[tag].search(page, at)
+            at = close.end() if close else n
+
+
+class Open:
+    """The open elements of a place in a page, with running counts of what they give the blocks below them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...], int | None]] = []
+        self.blocks: list[int] = []  # where block-level elements stand in the stack
+        self.tags: Counter[str] = Counter()
+        self.features: Counter[str] = Counter()
+
+    def push(self, tag: str, features: tuple[str, ...], label: int | None) -> None:
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, features, self.label() if label is None else label))
+        self.tags[tag] += 1
+        self.features.update(features)
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag, features, _ = self.stack.pop()
+            self.tags[tag] -= 1
+            for f in features:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+        while self.blocks and self.blocks[-1] >= size:
+            self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost element of this tag, if one is open, and all inside it."""
+        if self.tags[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.cut(k)
+
+    def nearest(self) -> str:
+        return self.stack[self.blocks[-1]][0] if self.blocks else "none"
+
+    def label(self) -> int | None:
+        return self.stack[-1][2] if self.stack else None
+
+
+def leaf_blocks(page: str, labelled: bool = False) -> list[Block]:
+    """The blocks of a page in order; their labels are read from its data-main marks only if it is `labelled`."""
+    own = Open()
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = [0]
-    links = 0
-    label_of = lambda: next((x[3] for x in reversed(stack) if x[3] is not None), None)
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                own: dict[str, None] = {}
-                nearest = "none"
-                for tag, _, features, _ in stack:
-                    own.update(dict.fromkeys(features))
-                    if tag in BLOCKS:
-                        nearest = tag
-                own[f"at:{nearest}"] = None
-                own.update(dict.fromkeys(_shape(text, linked[0], text.count(" ") + 1)))
-                blocks.append(Block(text, list(own), label_of()))
+                features = [*own.features, f"at:{own.nearest()}", *_shape(text, linked, text.count(" ") + 1)]
+                blocks.append(Block(text, features, own.label()))
             parts.clear()
-        linked[0] = 0
-
-    for m in TOKEN.finditer(page):
-        tag = m[3]
-        if tag is None:
-            body = m[0]
-            if body[0] != "<" or body == "<":
-                parts.append(body)
-                if links:
-                    linked[0] += len(body.strip())
-            continue
-        tag = tag.lower()
-        if m[2]:
+        linked = 0
+
+    for kind, tag, body in tokens(page):
+        if kind == "text":
+            parts.append(body)
+            if own.tags["a"]:
+                linked += len(body.strip())
+        elif kind == "close":
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-            continue
-        if tag == "br":
+            own.close(tag)
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag in BLOCKS:
-            flush()
-            shut = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here, a list item at the next one
-                t = stack[k][0]
-                if t == "p" or t in shut:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if t in BLOCKS:
-                    break
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            if tag == "a":
-                links += 1
-            stack.append((tag, m[4], *_element(tag, m[4])))
+        else:
+            if tag in BLOCKS:
+                flush()
+                # an open paragraph ends here, a list item at the next one
+                if own.blocks and (own.nearest() == "p" or own.nearest() in CLOSES.get(tag, ())):
+                    own.cut(own.blocks[-1])
+            if tag not in VOID and not body.rstrip().endswith("/"):
+                features, label = _element(tag, body)
+                own.push(tag, features, label if labelled else None)
     flush()
     n = len(blocks)
     for i, b in enumerate(blocks):
@@ -324,7 +408,7 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
 @lru_cache(maxsize=1)
 def trained(pages: int = TRAIN_PAGES) -> Field:
-    return Field().fit([b for b in map(leaf_blocks, labelled_pages(pages, SEED)) if b])
+    return Field().fit([b for b in (leaf_blocks(page, labelled=True) for page in labelled_pages(pages, SEED)) if b])
 
 
 def main_text(page: str | None, field: Field) -> str:

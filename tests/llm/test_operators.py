@@ -269,7 +269,7 @@ def test_shuffled_benchmark(spark, monkeypatch):
 
 
 def test_html(spark):
-    held = [b for b in map(H.leaf_blocks, H.labelled_pages(80, 1234)) if b]
+    held = [b for b in (H.leaf_blocks(p, labelled=True) for p in H.labelled_pages(80, 1234)) if b]
     field = H.trained()
     right = [x.label == y for b in held for x, y in zip(b, field.labels(b), strict=True)]
     assert sum(right) / len(right) > 0.99
@@ -282,6 +282,33 @@ def test_html(spark):
     assert H.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_marks_of_training_are_nothing_on_pages():
+    field = H.trained()
+    page = "<nav>{}<a href=/>Home</a></nav><article>{}<p>A sentence that is long enough to be read.</p></article>"
+    plain = H.main_text(page.format("", ""), field)
+    for mark in ('<div data-main="app">', "<div data-main>", '<div data-main="1">', "<div data-main='x' data-main=0>"):
+        assert H.main_text(page.format(mark, mark), field) == H.main_text(page.format("<div>", "<div>"), field)
+        assert all(b.label is None for b in H.leaf_blocks(mark + "x"))
+    assert "long enough" in plain
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ('<div class="a">x' * 10_000, 10_000), ('<a href="' * 22_000, 0), ("<script " * 20_000, 0), ("<a href='x>" * 10_001 + "y", 1), ("<div>" * 20_000 + "</span>" * 20_000 + "x", 1),
+        ("<b>" * 10_000 + "<div></div>" * 10_000 + "x", 1), ("<!--" * 20_000, 0), ("<" * 100_000, 1), ("<a \"><b '>" * 10_000 + "x", None), ("<p>y<svg/>" * 10_000, 10_000), ("</" * 50_000, 0), ("&amp" * 50_000, 1), ("<li><p>z" * 10_000, 10_000),
+    ],
+)
+def test_html_of_any_shape_takes_linear_time(page, blocks):
+    import time
+
+    field, start = H.trained(), time.process_time()
+    found = H.leaf_blocks(page)
+    field.labels(found)
+    assert time.process_time() - start < 3
+    assert blocks is None or len(found) == blocks
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
