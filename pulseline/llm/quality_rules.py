@@ -1,20 +1,21 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, in DataFrame functions only.
 
 Every text gives counts; a few base rules reject on counts alone. The others are judged by STATISTICS, transformed
-ratios of the counts. For each language and source a robust centre and covariance are found by concentration steps:
-starting from medians and median deviations, each step keeps the share COVER of the group's vectors with the
-least Mahalanobis distance and takes their mean and covariance (consistency-corrected), so up to 1 - COVER of a group may be
-junk without moving the estimate. A floor on each variance (FLOOR squared) keeps near-constant statistics from
-making trifles outliers. A vector is rejected if its squared distance is over CUTOFF and it lies on the bad side
-of the centre in some statistic (more symbols, capitals, repeats, or odd words): being unusually clean isn't a fault.
+ratios of the counts. For each language and source a robust centre and covariance are found by concentration: each step keeps
+the share COVER of the group's vectors with the least Mahalanobis distance and takes their mean and covariance, so up to
+1 - COVER of a group may be junk without moving the estimate. Steps go from three starts (medians with median deviations, then the same with
+the covariance of the vectors' directions, and of their hyperbolic tangents), each until no determinant moves or STEPS are done; the start
+that ends in the least determinant gives the estimate. Its covariance is multiplied by CONSISTENT, which makes that of the inner COVER of
+normal vectors the covariance of all. A floor on each variance (FLOOR squared) keeps near-constant statistics from
+making trifles outliers. A vector is rejected if its squared distance is over CUTOFF.
 
 A group of fewer than LEAST vectors takes the estimate of its language, and that of all texts where the language is
 as small: a covariance of so few vectors means nothing. Medians and cut-offs are mergeable sketches and sums, so a source
-with a third of all rows is aggregated before it is shuffled; the table of estimates has one row a group.
+with a third of all rows is aggregated before it is shuffled; the table of estimates has one row a group. Sketches are exact for groups of up to 1,000 vectors.
 
 Edge cases: null and empty texts have zero counts and fail the base rules. Null languages and sources are groups of
-their own. Rows are judged one by one, so ties and repeated rows are judged alike; extra columns are not read. An
-empty table gives an empty result.
+their own. Rows are judged one by one, so ties and repeated rows are judged alike; extra columns are not read. A very long text
+takes time in proportion to n log n of its words. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, forget, table
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("word_length", "symbols", "capitals", "dup_lines", "repeats")
 FLOOR = {"word_length": 0.12, "symbols": 0.12, "capitals": 0.08, "dup_lines": 0.12, "repeats": 0.12}
-COVER, STEPS, LEAST = 0.75, 3, 60
+COVER, STEPS, LEAST = 0.75, 20, 60
+#: COVER over the share of chi-square with seven degrees below the COVER quantile of that with five.
+CONSISTENT = 1.41
+#: A step that moves no log-determinant by more than this is the last.
+SETTLED = 1e-6
 #: Most units whose estimates (some 200 bytes each) are broadcast; beyond, they are joined.
 BROADCAST = 50_000
 #: Squared distance: far beyond the 1e-6 quantile (36) of chi-square with five degrees, as clean texts have heavy tails.
@@ -140,30 +145,68 @@ def _distances(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame
     return out.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, len(STATISTICS))), F.col("z_0") * F.col("z_0")))
 
 
-def _moments(kept: DataFrame, correction: Column | float = 1.0) -> DataFrame:
-    """Means and covariances of each unit, as sums that are merged before the shuffle; variances get their floor."""
+def _moments(kept: DataFrame) -> DataFrame:
+    """Means and covariances of each unit, as sums that are merged before the shuffle."""
     means = [F.avg(s).alias(_centre(i)) for i, s in enumerate(STATISTICS)]
     covs = [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c_{i}_{j}") for i, j in PAIRS]
-    out = kept.groupBy("unit").agg(*means, *covs)
-    return out.withColumns({f"c_{i}_{j}": F.col(f"c_{i}_{j}") * correction + (F.lit(FLOOR[STATISTICS[i]] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS})
+    return kept.groupBy("unit").agg(*means, *covs)
+
+
+def _floored(estimates: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Covariances times factor, variances with their floor."""
+    return estimates.withColumns({f"c_{i}_{j}": F.col(f"c_{i}_{j}") * factor + (F.lit(FLOOR[STATISTICS[i]] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS})
+
+
+def _log_det() -> Column:
+    return sum((F.log(F.col(_factor(i, i))) for i in range(1, len(STATISTICS))), F.log(F.col(_factor(0, 0)))) * 2
+
+
+def _starts(vectors: DataFrame, few: bool) -> DataFrame:
+    """Three rows a unit, whose names end in the start's number: centre and covariance to start from."""
+    medians = vectors.groupBy("unit").agg(*(F.percentile_approx(s, 0.5, 1000).alias(_centre(i)) for i, s in enumerate(STATISTICS)))
+    medians = cut(medians, "mcd-medians")
+    spread = _beside(vectors, medians, few).groupBy("unit").agg(*(F.percentile_approx(F.abs(F.col(s) - F.col(_centre(i))), 0.5, 1000).alias(f"d_{i}") for i, s in enumerate(STATISTICS)))
+    spread = spread.join(medians, "unit").withColumns({f"d_{i}": F.sqrt(F.pow(1.4826 * F.col(f"d_{i}"), 2) + F.lit(FLOOR[s] ** 2)) for i, s in enumerate(STATISTICS)})
+    spread = cut(spread, "mcd-spread")
+    scaled = _beside(vectors, spread, few).select("unit", *(((F.col(s) - F.col(_centre(i))) / F.col(f"d_{i}")).alias(f"u_{i}") for i, s in enumerate(STATISTICS)))
+    length = F.sqrt(sum((F.col(f"u_{i}") * F.col(f"u_{i}") for i in range(1, len(STATISTICS))), F.col("u_0") * F.col("u_0")))
+    scaled = scaled.withColumn("length", F.when(length > 0, length).otherwise(F.lit(1.0)))
+    turned = [F.covar_pop(F.col(f"u_{i}") / F.col("length"), F.col(f"u_{j}") / F.col("length")).alias(f"s_{i}_{j}") for i, j in PAIRS]
+    bent = [F.covar_pop(F.tanh(f"u_{i}"), F.tanh(f"u_{j}")).alias(f"t_{i}_{j}") for i, j in PAIRS]
+    shapes = scaled.groupBy("unit").agg(*turned, *bent).join(spread, "unit")
+    size = lambda i, j: F.col(f"d_{i}") * F.col(f"d_{j}")
+    kinds = [
+        lambda i, j: size(i, j) if i == j else F.lit(0.0),
+        lambda i, j: F.col(f"s_{i}_{j}") * size(i, j) * len(STATISTICS),
+        lambda i, j: F.col(f"t_{i}_{j}") * size(i, j),
+    ]
+    each = [F.struct(_at_start(F.lit(k)).alias("unit"), *(_centre(i) for i in range(len(STATISTICS))), *(kind(i, j).alias(f"c_{i}_{j}") for i, j in PAIRS)) for k, kind in enumerate(kinds)]
+    return _floored(shapes.select(F.inline(F.array(*each))))
+
+
+def _at_start(k: Column) -> Column:
+    return F.concat("unit", F.lit("\x1e"), k)
 
 
 def robust_estimates(vectors: DataFrame, few: bool, steps: int = STEPS) -> DataFrame:
     """One row a unit: centre and Cholesky factor of the minimum-covariance-determinant estimate of vectors(unit, ...)."""
-    #: median of chi-square(5) at COVER over its truncated mean: makes the covariance of the inner share consistent
-    correction = 1.85
-    medians = vectors.groupBy("unit").agg(*(F.percentile_approx(s, 0.5, 1000).alias(f"_{s}") for s in STATISTICS))
-    spread = _beside(vectors, medians, few).groupBy("unit").agg(
-        *(F.first(f"_{s}").alias(_centre(i)) for i, s in enumerate(STATISTICS)), *(F.percentile_approx(F.abs(F.col(s) - F.col(f"_{s}")), 0.5, 1000).alias(f"_d_{s}") for s in STATISTICS)
-    )
-    spread = spread.withColumns({f"c_{i}_{j}": F.pow(1.4826 * F.col(f"_d_{STATISTICS[i]}"), 2) + F.lit(FLOOR[STATISTICS[i]] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS})
-    estimates = cut(_cholesky(spread), "mcd-start")
+    estimates = cut(_cholesky(_starts(vectors, few)), "mcd-start")
+    dealt = cut(vectors.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select(_at_start(F.col("k")).alias("unit"), *STATISTICS), "mcd-vectors")
     for _ in range(steps):
-        far = _distances(vectors, estimates, few).select("unit", "d2", *STATISTICS)
-        limits = far.groupBy("unit").agg(F.percentile_approx("d2", COVER, 1000).alias("limit"))
-        inner = _beside(far, limits, few).filter("d2 <= limit")
-        estimates = cut(_cholesky(_moments(inner, correction)), "mcd-step")
-    return estimates
+        far = cut(_distances(dealt, estimates, few).select("unit", "d2", *STATISTICS), "mcd-far")
+        limits = cut(far.groupBy("unit").agg(F.percentile_approx("d2", COVER, 1000).alias("limit")), "mcd-limits")
+        found = cut(_moments(_beside(far, limits, few).filter("d2 <= limit")), "mcd-moments")
+        new = cut(_cholesky(_floored(found)), "mcd-step")
+        both = new.select("unit", _log_det().alias("now")).join(estimates.select("unit", _log_det().alias("was")), "unit")
+        moved = both.filter(F.abs(F.col("now") - F.col("was")) > SETTLED).limit(1).count()
+        for done in (far, limits, estimates):
+            forget(done)
+        estimates = new
+        if not moved:
+            break
+    forget(dealt)
+    best = estimates.select("unit", _log_det().alias("log_det")).groupBy(F.substring_index("unit", "\x1e", 1).alias("own")).agg(F.min_by("unit", F.struct("log_det", "unit")).alias("unit"))
+    return cut(_cholesky(_floored(found, CONSISTENT).join(best, "unit").drop("unit").withColumnRenamed("own", "unit")), "mcd-best")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry: bool = False) -> DataFrame:
@@ -192,8 +235,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, c
     few = used.count() <= BROADCAST
     estimates = robust_estimates(cut(vectors, "quality-vectors"), few)
     judged = _distances(body.select(*held, "doc_id", "unit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), estimates, few)
-    worse = F.greatest(F.abs(F.col("z_0")), *(F.col(f"z_{i}") for i in range(1, len(STATISTICS))))
-    judged = judged.withColumn("kept", ~((F.col("d2") > cutoff) & (worse * worse * len(STATISTICS) > cutoff)))
+    judged = judged.withColumn("kept", F.col("d2") <= cutoff)
     columns = (*held, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     lost = rows.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.select(*columns, "kept", F.col("d2").alias("distance")).union(lost)

@@ -225,6 +225,61 @@ def test_quality_outliers(spark, monkeypatch, broadcast):
     assert len(kept) >= 295
 
 
+def least_determinant(x):
+    """Mean, covariance (with floors) and determinant of the share COVER of the rows of x whose covariance has the least determinant, by trying all."""
+    from itertools import combinations
+
+    import numpy as np
+
+    floor = np.diag([QR.FLOOR[s] ** 2 for s in QR.STATISTICS])
+    best = None
+    for own in combinations(range(len(x)), math.ceil(QR.COVER * len(x))):
+        part = x[list(own)]
+        c = np.cov(part.T, bias=True)
+        det = np.linalg.det(c + floor)
+        if best is None or det < best[2]:
+            best = part.mean(0), c * QR.CONSISTENT + floor, det
+    return best
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_least_covariance_determinant(spark, few):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    units = {f"u{k}": rng.normal(size=(12, 5)) @ rng.normal(size=(5, 5)) + np.where(np.arange(12)[:, None] < 3, rng.normal(size=5) * 60, 0) for k in range(6)}
+    units["same"] = np.ones((8, 5))
+    rows = [(u, *map(float, v)) for u, x in units.items() for v in x]
+    names = [f"{s} double" for s in QR.STATISTICS]
+    vectors = spark.createDataFrame(rows, "unit string, " + ", ".join(names)).repartition(3)
+    found = QR.robust_estimates(vectors, few)
+    got = {r.unit: r for r in found.collect()}
+    far = {(r.unit, round(r.capitals, 9)): r.d2 for r in QR._distances(vectors, found, few).collect()}
+    assert set(got) == set(units)
+    for u, x in units.items():
+        mean, cov, _ = least_determinant(x)
+        r = got[u]
+        low = np.array([[r[QR._factor(i, j)] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([r[QR._centre(i)] for i in range(5)], mean)
+        assert np.allclose(low @ low.T, cov)
+        for v in x:
+            assert far[u, round(v[2], 9)] == pytest.approx((v - mean) @ np.linalg.solve(cov, v - mean), rel=1e-6, abs=1e-9)
+
+
+def test_consistency_factor():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    d2 = (rng.normal(size=(400_000, 5)) ** 2).sum(1)
+    assert pytest.approx(5 / d2[d2 <= np.quantile(d2, QR.COVER)].mean(), rel=0.01) == QR.CONSISTENT
+
+
+def test_quality_verdict_is_the_distance(docs):
+    out = QR.quality_rules(docs, cutoff=4.0).collect()
+    assert any(not r.kept and not r.base_failed for r in out)
+    assert all(r.kept == (not r.base_failed and r.distance <= 4.0) for r in out)
+
+
 def test_decontamination(spark, docs, empty):
     item = "Anna has 12 apples and gives 5 kg of them to her friend Bob, how many apples does Anna have left after 12 days?"
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id long, text string")
