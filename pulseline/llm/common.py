@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,11 @@ def packed(docs: DataFrame, need: list[str], name: str) -> DataFrame:
     return docs.select(*need, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in need), F.lit(0).alias("_end")).alias(name))
 
 
+def schema_of(df: DataFrame, own: list[str], ddl: str) -> StructType:
+    """The columns `own` of df as they are, then those of ddl."""
+    return StructType([*(df.schema[c] for c in own), *StructType.fromDDL(ddl).fields])
+
+
 def unpacked(rest: str, columns: list[str], results: list[str]) -> list[Column]:
     """The fields `columns` of struct column rest as columns of their own; one named like a result gets `_in` at its end, as often as needed."""
     taken, out = {c.lower() for c in results}, []

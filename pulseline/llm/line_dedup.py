@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, packed, table, unpacked
+from .common import cut, forget, packed, schema_of, table, unpacked
 
 LEAST, HOT = 20, 2_000
 LAST = (1 << 63) - 1
@@ -110,8 +110,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     again = rare.union(hot).filter((F.col("_u_row") != F.col("f_row")) | (F.col("place") != F.col("f_place")))
     again = again.groupBy("_u_row").agg(F.collect_list("place").alias("_u_again"))
     full = rows.drop("_u_id", "_u_text").join(again, "_u_row", "left").drop("_u_row")
-    kinds = ", ".join(f"{c} {full.schema[c].dataType.simpleString()}" for c in ("doc_id", "_u_rest"))
-    out = cut(full.mapInArrow(_rebuild(least), f"{kinds}, text string, n_units long, n_removed long, removed_chars long, removed_spans string"), "line-kept")
+    kinds = schema_of(full, ["doc_id", "_u_rest"], "text string, n_units long, n_removed long, removed_chars long, removed_spans string")
+    out = cut(full.mapInArrow(_rebuild(least), kinds), "line-kept")
     for done in (rows, own, first):
         forget(done)
     return out.select("doc_id", "text", *RESULTS, *unpacked("_u_rest", extra, ["doc_id", "text", *RESULTS]))
