@@ -76,6 +76,24 @@ def row_key(doc_id: Column, tkey: Column) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.hex(tkey), F.lit("null"))))
 
 
+#: 64-bit words of a sieve: at most so many rows are broadcast.
+SIEVE = 1 << 20
+
+
+def sieve(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose column `name` may be among keys(name): all that are, and some others.
+
+    Keys set bits of a table of at most SIEVE words, which is broadcast, so most other rows are dropped where they are read and
+    not shuffled. Where there are more keys than bits nearly all rows pass, and the join that follows does the work alone.
+    """
+    bit = F.pmod(F.xxhash64(name), F.lit(SIEVE * 64))
+    word = F.floor(bit / 64)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = cut(keys.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "sieve")
+    held = rows.join(F.broadcast(words), word == F.col("_word"))
+    return held.filter(F.col("_bits").bitwiseAND(one) != 0).drop("_word", "_bits")
+
+
 def _toward_least(edges: DataFrame) -> DataFrame:
     """The same components with fewer edges: each vertex and its smaller neighbours hang on the least of these."""
     low = edges.groupBy("b").agg(F.min("a").alias("m"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
-from .common import components, cut, forget, table, text_key
+from .common import components, cut, forget, sieve, table, text_key
 
 WORDS, TREES, DEPTH, LEAF, BLOCK = 5, 24, 4, 32, 256
 BLOCK_SHINGLES = 1_000_000
@@ -149,53 +149,62 @@ class Forest:
 
 
 def _link(percent: int, least: float):  # noqa: ANN202
-    """Rows come sorted by (root, low, high), one block or a pair of blocks of a cluster: links of different components."""
-
-    def compare(run: pa.Table) -> pa.RecordBatch:
-        run = run.combine_chunks()
-        rid, comp, part = (run.column(c).to_numpy() for c in ("rid", "comp", "part"))
-        values = run.column("mh").combine_chunks().flatten().to_numpy().reshape(len(run), -1)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in run.column("shingles")]
-        size = np.array([len(x) for x in sets])
-        own = Forest(len(run))
-        first = {}
-        for k, c in enumerate(comp.tolist()):  # what is one component already needs no comparison
-            own.join(k, first.setdefault(c, k))
-        mixed = run.column("low")[0].as_py() != run.column("high")[0].as_py()
-        found = []
-        for p in range(len(run)):
-            rest = np.arange(p + 1, len(run))
-            if mixed:
-                rest = rest[part[rest] != part[p]]
-            fit = rest[(comp[rest] != comp[p]) & (np.minimum(size[rest], size[p]) * 100 >= np.maximum(size[rest], size[p]) * percent)]
-            for q in fit[(values[fit] == values[p]).sum(1) >= least * values.shape[1]].tolist() if len(fit) else ():
-                if own.root(p) != own.root(q):
-                    both = np.concatenate((sets[p], sets[q]))
-                    both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if shared * 100 >= (len(both) - shared) * percent:
-                        own.join(p, q)
-                        found.append((rid[p], rid[q]))
-        out = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+    """Rows come sorted by (root, block, role), the bases of a block first (role 0), then its probes: links of different components."""
+
+    class Block:
+        def __init__(self) -> None:
+            self.rid, self.comp, self.sets = [], [], []
+            self.values: list[np.ndarray] = []
+            self.own = Forest(0)
+            self.name: dict[int, int] = {}
+
+        def place(self, comp: int) -> int:
+            """The number of a component in the forest of those met so far."""
+            if comp not in self.name:
+                self.name[comp] = len(self.own.up)
+                self.own.up.append(len(self.own.up))
+            return self.name[comp]
+
+        def meet(self, rows: pa.RecordBatch, keep: bool) -> Iterator[tuple[int, int]]:
+            """Links of these rows with the bases so far; with keep they become bases as well."""
+            lists = rows.column("mh").flatten().to_numpy().reshape(len(rows), -1)
+            for k, (rid, comp) in enumerate(zip(rows.column("rid").to_pylist(), rows.column("comp").to_pylist(), strict=True)):
+                own = np.frombuffer(rows.column("shingles")[k].as_buffer(), np.uint64)
+                me = self.place(comp)
+                size = np.array([len(x) for x in self.sets])
+                if len(size):
+                    fit = np.flatnonzero((np.array(self.comp) != comp) & (np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * percent))
+                    if len(fit):
+                        fit = fit[(np.stack([self.values[q] for q in fit]) == lists[k]).sum(1) >= least * lists.shape[1]]
+                    for q in fit.tolist():
+                        other = self.place(self.comp[q])
+                        if self.own.root(me) != self.own.root(other):  # what is one component already needs no comparison
+                            both = np.concatenate((own, self.sets[q]))
+                            both.sort(kind="stable")
+                            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                            if shared * 100 >= (len(both) - shared) * percent:
+                                self.own.join(me, other)
+                                yield self.rid[q], rid
+                if keep:
+                    self.rid.append(rid)
+                    self.comp.append(comp)
+                    self.sets.append(own)
+                    self.values.append(lists[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        name = None
+        block, name = Block(), None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "low", "high")], 1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "block", "role")], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(batch)]
+            found: list[tuple[int, int]] = []
             for start, end in zip(cuts, cuts[1:], strict=False):
                 if start == end:
                     continue
-                key = tuple(keys[start])
-                if held and key != name:
-                    yield compare(pa.Table.from_batches(held))
-                    held = []
-                name = key
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield compare(pa.Table.from_batches(held))
+                if tuple(keys[start, :2]) != name:
+                    block, name = Block(), tuple(keys[start, :2])
+                found += block.meet(batch.slice(start, end - start), keep=keys[start, 2] == 0)
+            out = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     return run
 
@@ -264,9 +273,9 @@ def _nodes(reps: DataFrame, leaf: int) -> list[DataFrame]:
 
 def _full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     """The full shingle sets of ids(rid), from one text of each."""
-    need = reps.join(ids, "rid", "left_semi").select("rid", F.col("tkey").alias("want"))
-    # copies collapse in the tasks that read them, before the shuffle
-    texts = docs.groupBy("tkey").agg(F.first("text").alias("text")).join(need, F.col("tkey") == F.col("want")).select("rid", "text")
+    need = cut(reps.join(ids, "rid", "left_semi").select("rid", F.col("tkey").alias("want")), "near-need")
+    # texts that aren't wanted are dropped and copies collapse in the tasks that read them, before the shuffle
+    texts = sieve(docs.select("tkey", "text"), need.select(F.col("want").alias("tkey")), "tkey").groupBy("tkey").agg(F.first("text").alias("text")).join(need, F.col("tkey") == F.col("want")).select("rid", "text")
     return cut(texts.mapInArrow(_sets, "rid long, shingles binary"), tag)
 
 
@@ -282,17 +291,26 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -
 
 
 def _cluster_links(alike: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
-    """Links between components inside the clusters that alike(a, b) connects: every block of a cluster meets every other."""
+    """Links between components inside the clusters that alike(a, b) connects.
+
+    Every row is a base in one block of its cluster. The rows outside the cluster's largest component are probes in all blocks, so a
+    cluster that is one component but for a few rows costs its size, however large it is.
+    """
     named = components(alike, "near-cluster").select(F.col("v").alias("rid"), "root")
     named = named.join(reps.select("rid", "mh", "n_shingles"), "rid").join(roots.select(F.col("v").alias("rid"), F.col("root").alias("_c")), "rid", "left")
-    sizes = named.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    rows = named.join(sizes, "root").select("root", "rid", F.coalesce("_c", "rid").alias("comp"), "mh", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("part"), "parts")
+    named = cut(named.select("root", "rid", F.coalesce("_c", "rid").alias("comp"), "mh", "n_shingles"), "near-clusters")
+    each = named.groupBy("root", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    sizes = each.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("m") / BLOCK_SHINGLES)).cast("long").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     sets = _full_sets(named.select("rid"), reps, docs, "near-cluster-sets")
-    rows = rows.join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rid", "comp", "mh", "shingles")
-    rows = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    rows = named.join(cut(sizes, "near-cluster-sizes"), "root").join(sets, "rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    long = lambda x: F.lit(x).cast("long")
+    blocks = F.when(F.col("comp") == F.col("main"), F.array(F.struct(F.col("part").alias("block"), long(0).alias("role"))))
+    blocks = blocks.otherwise(F.transform(F.sequence(long(0), F.col("parts") - 1), lambda p: F.struct(p.alias("block"), F.when(p == F.col("part"), long(0)).otherwise(long(1)).alias("role"))))
+    rows = rows.select("root", "rid", "comp", "mh", "shingles", F.inline(blocks))
+    rows = rows.repartition("root", "block").sortWithinPartitions("root", "block", "role")
     links = cut(rows.mapInArrow(_link(percent, least), "a long, b long"), "near-cluster-links")
     forget(sets)
+    forget(named)
     return links
 
 
@@ -341,6 +359,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = LEAF) -> Dat
         links = links.union(_cluster_links(alike, roots, reps, docs, percent, least))
         roots = components(links, "near-all")
 
+    for done in (*levels, alike):
+        forget(done)
     named = reps.join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("skey", "label", F.coalesce("root", "rid").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("label").alias("component_id"))
     named = named.join(ids, "comp").select("skey", "comp", "component_id")
