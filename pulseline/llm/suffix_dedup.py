@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
-from .common import cut, forget, table, text_key
+from .common import cut, forget, sieve, table, text_key
 
 SPAN, SEED, BATCHES, HOT = 400, 160, 4, 1024
 U = np.uint64
@@ -270,9 +270,11 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     open_kinds = kinds.join(several, "prefix").select("prefix", "context", "crowd", "one.*")
     wanted = open_kinds.groupBy("tkey").agg(F.collect_list(F.struct("prefix", "context", "crowd", "pos", "back", "ahead")).alias("want"))
     # texts with a repeated prefix, once each: the only ones that may lose bytes
-    touched = matched.select("tkey").distinct().join(wanted, "tkey", "left")
-    # copies collapse in the tasks that read them, before the shuffle
-    texts = cut(rows.groupBy("tkey").agg(F.first("text").alias("text")).join(touched, "tkey"), "suffix-texts")
+    touched = cut(matched.select("tkey").distinct(), "suffix-touched")
+    # other texts are dropped and copies collapse in the tasks that read them, before the shuffle
+    own = sieve(rows, touched, "tkey")
+    touched = touched.join(wanted, "tkey", "left")
+    texts = cut(own.groupBy("tkey").agg(F.first("text").alias("text")).join(touched, "tkey"), "suffix-texts")
     bodies = texts.filter("want is not null").select("text", "want").mapInArrow(_contexts(span), "prefix long, context long, back int, ahead int, crowd long, body binary")
     bodies = cut(bodies, "suffix-bodies")
     calm = bodies.filter(F.col("crowd") <= hot).drop("crowd").repartition("prefix").sortWithinPartitions("prefix")
