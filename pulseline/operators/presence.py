@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseline import schemas as S
@@ -102,35 +102,44 @@ def stanza_device_changes(stanzas: DataFrame, refresh: int = S.REFRESH_SECONDS)
     return device_changes(rows, refresh)
 
 
-def user_step(state: dict, now: int, ids: list) -> str:
-    """One change decision for a user from the sorted ids of live devices."""
-    if "status" not in state:
-        state.update(status="ONLINE" if ids else "OFFLINE", ids=ids, seen=now)
-        return "changed"
-    was, had = state["status"], state["ids"]
-    status = "ONLINE" if ids else "OFFLINE"
-    changed = status != was or (bool(ids) and ids != had)
-    state.update(status=status, ids=ids, seen=now)
-    return "changed" if changed else "unchanged"
-
-
 def user_changes(rows: DataFrame, stale: int = S.STALE_SECONDS) -> DataFrame:
     """rows(eid, device_id, now, seq, status): after each row of a user, whether the user's status or set of live
-    devices changed. Adds outcome, user_status, n_live, and idle (seconds without a change reached `stale`, which
-    restarts that clock)."""
+    devices changed. Adds outcome, user_status and n_live.
+
+    An ONLINE row makes its device live up to the device's next row, for `stale` seconds at most. Where it runs out before that row, an
+    expiry of its own stands in the user's order, so running counts give the devices that are live after each row, and a user's set of live
+    devices changed if the row's own device turned, or another one ran out since the user's row before.
+    """
+    own = Window.partitionBy(*KEY).orderBy("now", "seq")
+    up = F.coalesce(F.col("status") == "ONLINE", F.lit(False))
+    spans = rows.select("*", up.alias("_up")).withColumns({"_was": F.lag("_up").over(own), "_from": F.lag("now").over(own), "_to": F.lead("now").over(own)})
+    ends = F.col("now") + stale + 1
+    over = F.col("_up") & (F.col("_to").isNull() | (F.col("_to") >= ends))
+    still = F.coalesce(F.col("_was") & (F.col("now") - F.col("_from") <= stale), F.lit(False))  # the device is live up to this row
+    mine = F.struct(F.col("now").alias("at"), F.lit(1).alias("real"), (F.col("_up").cast("long") - still.cast("long")).alias("more"), F.lit(0).cast("long").alias("out"))
+    gone = F.struct(ends.alias("at"), F.lit(0).alias("real"), F.lit(-1).cast("long").alias("more"), F.lit(1).cast("long").alias("out"))
+    events = spans.select("*", F.inline(F.when(over, F.array(mine, gone)).otherwise(F.array(mine))))
+    order = Window.partitionBy("eid").orderBy("at", "real", "seq")
+    counted = events.withColumns({"n_live": F.sum("more").over(order), "_out": F.sum("out").over(order)}).filter("real = 1")
+    before = {"_then": F.lag("now").over(order), "_then_out": F.lag("_out").over(order)}
+    held = F.coalesce(F.col("_was") & (F.col("_then") - F.col("_from") <= stale), F.lit(False))  # live after the user's row before
+    ran_out = held & (F.col("now") - F.col("_from") > stale)
+    turned = F.col("_then").isNull() | (F.col("_up") != held) | (F.col("_out") - F.col("_then_out") > ran_out.cast("long"))
+    return counted.withColumns(before).select(*rows.columns, F.when(turned, "changed").otherwise("unchanged").alias("outcome"), F.when(F.col("n_live") > 0, "ONLINE").otherwise("OFFLINE").alias("user_status"), "n_live")
+
+
+def idle_users(changes: DataFrame, stale: int = S.STALE_SECONDS) -> DataFrame:
+    """changes(eid, now, seq, outcome) with idle: `stale` seconds passed without a change, which restarts that clock. It
+    runs from the last restart and not from the row before, so no window gives it."""
 
     def step(state: dict, row: object) -> tuple:
-        devices = state.setdefault("devices", {})
-        devices[row.device_id] = (row.status, row.now)
-        ids = sorted(d for d, (s, at) in devices.items() if s == "ONLINE" and row.now - at <= stale)
-        outcome = user_step(state, row.now, ids)
         force = state.setdefault("force", row.now)
-        idle = outcome == "unchanged" and row.now - force >= stale
-        if idle or outcome == "changed":
+        idle = row.outcome == "unchanged" and row.now - force >= stale
+        if idle or row.outcome == "changed":
             state["force"] = row.now
-        return outcome, state["status"], len(ids), idle
+        return (idle,)
 
-    return fold_sorted(rows, ["eid"], ["now", "seq"], "outcome string, user_status string, n_live long, idle boolean", dict, step)
+    return fold_sorted(changes, ["eid"], ["now", "seq"], "idle boolean", dict, step)
 
 
 def heartbeat_step(state: dict, kind: str, now_ms: int) -> tuple[str | None, bool]:

@@ -196,14 +196,59 @@ def user_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.user_changes(rows, STALE).select("eid", F.col("seq").alias("event_id"), "user_status", "n_live", "outcome")
 
 
-@query()
+IDLE_SQL = f"""
+WITH RECURSIVE c AS ({USER_SQL}),
+o AS (SELECT c.*, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS now, row_number() OVER (PARTITION BY c.eid ORDER BY date_trunc('second', ts), c.event_id) AS n
+      FROM c JOIN (SELECT event_id, ts FROM events) USING (event_id)),
+f AS (
+  SELECT eid, event_id, user_status, n, now AS force, false AS idle FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.eid, o.event_id, o.user_status, o.n, CASE WHEN o.outcome = 'changed' OR o.now - f.force >= {STALE} THEN o.now ELSE f.force END, o.outcome = 'unchanged' AND o.now - f.force >= {STALE}
+  FROM f JOIN o ON o.eid = f.eid AND o.n = f.n + 1)
+SELECT eid, event_id, user_status FROM f WHERE idle"""
+
+
+@query(IDLE_SQL)
 def idle_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stanzas at which an unchanged user has been idle long enough to be announced again."""
     rows = V.stanzas(spark, sf_dir).select("eid", "device_id", C.epoch(F.col("ts")).alias("now"), F.col("event_id").alias("seq"), C.presence_status(F.col("status")).alias("status"))
-    return presence.user_changes(rows, STALE).filter("idle").select("eid", F.col("seq").alias("event_id"), "user_status")
+    changes = presence.user_changes(rows, STALE).select("eid", "now", "seq", "outcome", "user_status")
+    return presence.idle_users(changes, STALE).filter("idle").select("eid", F.col("seq").alias("event_id"), "user_status")
 
 
-@query()
+#: One step a row; row 0 of a device is a state that has ended, from which every row starts anew.
+HEARTBEAT_SQL = f"""
+WITH RECURSIVE {V.STANZAS_SQL},
+r AS (SELECT eid, device_id, event_id AS seq, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS now_ms, CASE WHEN status = 6 THEN 'tick' ELSE 'pong' END AS kind,
+             row_number() OVER (PARTITION BY eid, device_id ORDER BY date_trunc('second', ts), event_id) AS n FROM stanzas),
+f AS (
+  SELECT DISTINCT eid, device_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS now_ms, CAST(NULL AS BIGINT) AS seq, '' AS kind, CAST(NULL AS VARCHAR) AS outcome, true AS stopped,
+         CAST(NULL AS BIGINT) AS missed, CAST(NULL AS BIGINT) AS counter, CAST(NULL AS BIGINT) AS max_missed, CAST(NULL AS VARCHAR) AS device_status,
+         CAST(NULL AS BIGINT) AS timer, CAST(NULL AS BIGINT) AS sent, CAST(NULL AS BIGINT) AS activity FROM r
+  UNION ALL
+  SELECT eid, device_id, n, now_ms, seq, kind, outcome, b = 'end',
+         CASE b WHEN 'end' THEN NULL WHEN 'off' THEN m WHEN 'pong' THEN 0 WHEN 'pong_on' THEN 1 ELSE missed + 1 END,
+         CASE b WHEN 'end' THEN NULL WHEN 'off' THEN counter WHEN 'tick' THEN counter + 1 WHEN 'pong' THEN counter + 1 ELSE 0 END,
+         CASE b WHEN 'end' THEN NULL WHEN 'pong' THEN CASE WHEN coalesce(now_ms - sent, 0) > 500 THEN 8 WHEN coalesce(now_ms - sent, 0) < 100 THEN 3 ELSE 5 END ELSE m END,
+         CASE WHEN b <> 'end' THEN coalesce(want, status) END,
+         CASE WHEN b = 'off' THEN timer WHEN b <> 'end' THEN now_ms END, CASE WHEN b NOT IN ('end', 'off') THEN now_ms END,
+         CASE WHEN b = 'end' THEN NULL WHEN outcome IN ('changed', 'refresh') THEN now_ms // 1000 ELSE activity END
+  FROM (
+    SELECT *, CASE WHEN b = 'end' THEN 'terminated' WHEN want IS NULL THEN NULL WHEN status <> want THEN 'changed' WHEN now_ms // 1000 - activity >= 300 THEN 'refresh' ELSE 'unchanged' END AS outcome
+    FROM (
+      SELECT *, CASE WHEN b = 'off' THEN 'OFFLINE' WHEN b IN ('tick_on', 'pong_on') THEN 'ONLINE' END AS want
+      FROM (
+        SELECT *, CASE WHEN kind = 'tick' AND now_ms // 1000 - timer // 1000 > 120 THEN 'end' WHEN kind = 'tick' AND missed >= m THEN 'off'
+                       WHEN counter + 1 >= 5 THEN kind || '_on' ELSE kind END AS b
+        FROM (
+          SELECT r.*, CASE WHEN f.stopped THEN 0 ELSE f.missed END AS missed, CASE WHEN f.stopped THEN 0 ELSE f.counter END AS counter, CASE WHEN f.stopped THEN 6 ELSE f.max_missed END AS m,
+                 CASE WHEN f.stopped THEN r.now_ms ELSE f.timer END AS timer, CASE WHEN NOT f.stopped THEN f.sent END AS sent, CASE WHEN f.stopped THEN 'ONLINE' ELSE f.device_status END AS status,
+                 CASE WHEN f.stopped THEN r.now_ms // 1000 ELSE f.activity END AS activity
+          FROM f JOIN r ON r.eid = f.eid AND r.device_id = f.device_id AND r.n = f.n + 1)))))
+SELECT eid, device_id, now_ms, seq, kind, outcome, stopped, missed, counter, max_missed, device_status FROM f WHERE n > 0"""
+
+
+@query(HEARTBEAT_SQL)
 def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks (views) and pongs (other events) of each device, time run a thousand times faster."""
     rows = V.stanzas(spark, sf_dir).select("eid", "device_id", C.epoch(F.col("ts")).alias("now_ms"), F.col("event_id").alias("seq"), F.when(F.col("status") == 6, "tick").otherwise("pong").alias("kind"))
@@ -323,17 +368,72 @@ def awareness_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.awareness_response(_faulty(spark, sf_dir), F.col("event_id") * 1000).select("event_id", "type", "latitude", "longitude", "timestamp")
 
 
-@query(_with(V.STANZAS_SQL, FAULTY_SQL) + """
-SELECT event_id, 'Field ''ttl'' → Missing or invalid ttl' AS details, 'eid=' || eid || ', status=' || f.status AS pairs
-FROM faulty f JOIN (SELECT event_id, eid FROM stanzas) USING (event_id) WHERE ttl = 0""")
+DETAILS_SQL = _with(V.STANZAS_SQL, FAULTY_SQL) + """
+SELECT event_id, 'Field ' || chr(39) || field || chr(39) || ' → ' || text AS details, 'eid=' || eid || ', status=' || status AS pairs FROM (
+  SELECT event_id, CASE WHEN id IS NULL THEN ['id', 'Missing awareness id'] WHEN id = '' THEN ['id', 'Awareness id cannot be empty'] WHEN no_from THEN ['from', 'Missing from identity']
+    WHEN no_from_id THEN ['from.connection_resource_id', 'Missing from.connection_resource_id'] WHEN no_to THEN ['to', 'Missing to identity']
+    WHEN no_to_id THEN ['to.connection_resource_id', 'Missing to.connection_resource_id'] WHEN type <> 1 THEN ['type', 'Invalid type — user can only send REQUEST (1)']
+    WHEN status NOT BETWEEN 1 AND 11 THEN ['status', 'Invalid status — must be one of 1..11'] WHEN loc NOT IN (1, 2) THEN ['location_sharing', 'Invalid location_sharing — must be 1 or 2']
+    WHEN loc = 1 AND no_lat THEN ['coordinates', 'Latitude and Longitude required when sharing is enabled'] WHEN ttl <= 0 THEN ['ttl', 'Missing or invalid ttl']
+    WHEN ms <= 0 THEN ['timestamp', 'Missing or invalid timestamp'] END AS found, found[1] AS field, found[2] AS text, status FROM faulty) f
+JOIN (SELECT event_id, eid FROM stanzas) USING (event_id) WHERE field IS NOT NULL"""
+
+
+@query(DETAILS_SQL)
 def error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _faulty(spark, sf_dir).filter("ttl = 0")
-    text = Z.error_details(F.lit("Missing or invalid ttl"), F.lit("ttl"))
+    """What is told of every faulty stanza."""
+    rows = _faulty(spark, sf_dir).withColumn("e", Z.awareness_error()).filter("e is not null")
+    text = Z.error_details(F.col("e.description"), F.col("e.field"))
     pairs = Z.map_details(F.create_map(F.lit("status"), F.col("status").cast("string"), F.lit("eid"), F.col("eid")))
     rows = rows.join(V.stanzas(spark, sf_dir).select("event_id", F.col("eid").cast("string").alias("eid")), "event_id")
     return rows.select("event_id", text.alias("details"), pairs.alias("pairs"))
 
 
+RESPONSE_SQL = _with(V.STANZAS_SQL) + " SELECT event_id, CAST(eid AS VARCHAR) AS to_eid, CAST(device_id AS VARCHAR) AS to_device, {0} FROM stanzas"
+
+
+def _response(spark: SparkSession, sf_dir: str, stanza: Callable[[Column, Column, Column], Column], *fields: str) -> DataFrame:
+    """A response to the device of each stanza, its time the event's number."""
+    rows = V.stanzas(spark, sf_dir).select("event_id", "status", F.col("eid").cast("string").alias("eid"), F.col("device_id").cast("string").alias("device_id"))
+    rows = rows.select("event_id", stanza(F.col("eid"), F.col("device_id"), F.col("event_id")).alias("s"))
+    return rows.select("event_id", F.col("s.to.eid").alias("to_eid"), F.col("s.to.connection_resource_id").alias("to_device"), *(f"s.{f}" for f in fields))
+
+
+@query(RESPONSE_SQL.format("2 AS type, event_id AS \"timestamp\", CAST(NULL AS VARCHAR) AS details"))
+def pong_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _response(spark, sf_dir, Z.pong_stanza, "type", "timestamp", "details")
+
+
+@query(RESPONSE_SQL.format("3 AS type, event_id AS \"timestamp\", 'status ' || status AS details"))
+def ping_error_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _response(spark, sf_dir, lambda e, d, t: Z.pong_stanza(e, d, t, F.concat(F.lit("status "), F.col("status"))), "type", "timestamp", "details")
+
+
+@query(RESPONSE_SQL.format("2 AS type, 3 AS status, event_id AS \"timestamp\", CAST(NULL AS VARCHAR) AS details"))
+def logout_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _response(spark, sf_dir, lambda e, d, t: Z.logout_stanza(e, d, 3, t), "type", "status", "timestamp", "details")
+
+
+@query(RESPONSE_SQL.format("3 AS type, 0 AS status, event_id AS \"timestamp\", 'status ' || status AS details"))
+def awareness_error_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _response(spark, sf_dir, lambda e, d, t: Z.awareness_error_stanza(e, d, F.concat(F.lit("status "), F.col("status")), t), "type", "status", "timestamp", "details")
+
+
+@query(_with(V.STANZAS_SQL) + " SELECT event_id, CAST(100 + status AS INT) AS code, 2 AS error_origin, 'status ' || status AS details, event_id AS \"timestamp\" FROM stanzas")
+def error_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Z.error_stanza((F.col("status") + 100).cast("int"), 2, F.concat(F.lit("status "), F.col("status")), F.col("event_id"))
+    return V.stanzas(spark, sf_dir).select("event_id", e.alias("e")).select("event_id", "e.*")
+
+
+@query(_with(V.STANZAS_SQL) + """ SELECT event_id, coalesce(status IN (1, 2, 6) AND event_id % 7 <> 3, false) AS ok, 'token ' || event_id AS token FROM stanzas""")
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stanzas as claims of sessions: some lack their id, and some tokens are of no known type."""
+    s = V.stanzas(spark, sf_dir)
+    kind = F.when(F.col("status") == 1, "access").when(F.col("status").isin(2, 6), "refresh").otherwise("id")
+    ok = C.claims_ok(F.col("eid"), F.col("device_id"), F.when(F.col("event_id") % 7 != 3, F.col("event_id")), kind)
+    return s.select("event_id", ok.alias("ok"), C.bearer_token(F.concat(F.lit("Bearer token "), F.col("event_id"))).alias("token"))
+
+
 @query(_with(V.STANZAS_SQL, CLOCK_SQL) + " SELECT event_id FROM stanzas, clock WHERE epoch_ms(as_of) <= epoch_ms(ts) + rtt_ms * 100000")
 def stanza_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _clocked(V.stanzas(spark, sf_dir), spark, sf_dir)
@@ -402,6 +502,43 @@ def subscriber_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.update_subscribers(table, updates, F.lit(None).cast("timestamp_ntz")).drop("last_seen")
 
 
+@query(_with(V.EDGES_SQL) + " SELECT subscriber_id, string_agg(CAST(owner_id AS VARCHAR), ',' ORDER BY owner_id) AS owners FROM edges GROUP BY subscriber_id")
+def subscriber_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index from a subscriber to those it belongs to."""
+    return V.edges(spark, sf_dir).groupBy("subscriber_id").agg(_text(F.sort_array(F.collect_list("owner_id"))).alias("owners"))
+
+
+@query(_with(V.STANZAS_SQL, V.EDGES_SQL) + """
+SELECT owner_id, subscriber_id, CASE WHEN n IS NULL THEN 'old' ELSE 'new ' || n END AS status FROM edges LEFT JOIN (SELECT eid, count(*) AS n FROM stanzas GROUP BY eid) ON owner_id = eid
+UNION ALL SELECT eid, 0, 'new ' || count(*) FROM stanzas GROUP BY eid""")
+def subscriber_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of users with stanzas added again, and one of a new subscriber for each of them."""
+    edges, users = V.edges(spark, sf_dir), V.stanzas(spark, sf_dir).groupBy(F.col("eid").alias("owner_id")).agg(F.concat(F.lit("new "), F.count("*")).alias("status"))
+    new = edges.join(users, "owner_id").unionByName(users.select("owner_id", F.lit(0).cast(edges.schema["subscriber_id"].dataType).alias("subscriber_id"), "status"))
+    return D.add_subscribers(edges.withColumn("status", F.lit("old")), new)
+
+
+@query(_with(V.EDGES_SQL) + " SELECT subscriber_id FROM edges WHERE owner_id = 1")
+def subscribers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.subscriber_ids(V.edges(spark, sf_dir), 1)
+
+
+@query(_with(V.STANZAS_SQL, SNAPSHOT_SQL) + """
+SELECT s.eid, s.device_id, s.status, s.last_seen, coalesce(o.m, 0) AS last_offset FROM snapshot s LEFT JOIN (SELECT eid, device_id, max(event_id) AS m FROM stanzas WHERE status = 10 GROUP BY ALL) o
+ON s.eid = o.eid AND s.device_id = o.device_id""")
+def device_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices with the offset of their last read event; 0 where there is none."""
+    read = V.stanzas(spark, sf_dir).filter("status = 10").groupBy("eid", "device_id").agg(F.max("event_id").alias("offset"))
+    return D.set_offset(_snapshot(spark, sf_dir).withColumn("last_offset", F.lit(0).cast("long")), read)
+
+
+@query(_with(V.STANZAS_SQL, CLOCK_SQL) + " SELECT eid AS jti, max(ts + INTERVAL 30 DAY) AS exp FROM stanzas, clock WHERE ts + INTERVAL 30 DAY > as_of GROUP BY eid")
+def revocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of thirty days, one name for all of a user's; only those with time left are written."""
+    tokens = V.stanzas(spark, sf_dir).select(F.col("eid").alias("jti"), F.expr("ts + INTERVAL 30 DAY").alias("exp"))
+    return D.revoke(tokens, _clock(spark, sf_dir))
+
+
 @query(_with(V.STANZAS_SQL, CLOCK_SQL, "revoked AS (SELECT event_id AS jti, ts + INTERVAL 30 DAY AS exp FROM stanzas WHERE status = 2)") + " SELECT event_id FROM stanzas WHERE event_id NOT IN (SELECT jti FROM revoked, clock WHERE exp > as_of)")
 def unrevoked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stanzas as sessions; each error stanza revokes its token for thirty days."""

@@ -31,13 +31,13 @@ STANZAS_SQL = """stanzas AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(owner_id, subscriber_id): customers follow the suppliers of their nation."""
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("owner_id"), F.col("s_suppkey").alias("subscriber_id")).distinct()
+    """(owner_id, subscriber_id): customers follow the suppliers that they have ordered from; no more rows than order lines."""
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("owner_id"), F.col("l_suppkey").alias("subscriber_id")).distinct()
 
 
 EDGES_SQL = """edges AS (
-  SELECT DISTINCT c_custkey AS owner_id, s_suppkey AS subscriber_id FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
+  SELECT DISTINCT o_custkey AS owner_id, l_suppkey AS subscriber_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-written expectations for presence, change detection and heartbeats."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -69,6 +70,34 @@ def test_fold_spans_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def fold_users(rows, stale):
+    """outcome, n_live, idle after each row (user, device, now, seq, status), one row at a time."""
+    state, out = {}, []
+    for user, device, now, seq, status in sorted(rows, key=lambda r: (r[2], r[3])):
+        s = state.setdefault(user, {"devices": {}, "ids": None, "force": now})
+        s["devices"][device] = (status, now)
+        ids = sorted(d for d, (x, at) in s["devices"].items() if x == "ONLINE" and now - at <= stale)
+        outcome = "changed" if ids != s["ids"] else "unchanged"
+        idle = outcome == "unchanged" and now - s["force"] >= stale
+        if idle or outcome == "changed":
+            s["force"] = now
+        s["ids"] = ids
+        out.append((seq, outcome, "ONLINE" if ids else "OFFLINE", len(ids), idle))
+    return sorted(out)
+
+
+def test_user_changes_by_windows_are_those_of_a_fold(spark):
+    rng = random.Random(3)
+    rows = [(f"u{rng.randrange(6)}", f"d{rng.randrange(7)}", rng.randrange(500), k, rng.choice(["ONLINE", "ONLINE", "OFFLINE", "AWAY"])) for k in range(900)]
+    frame = spark.createDataFrame(rows, "eid string, device_id string, now long, seq long, status string").repartition(3)
+    out = P.user_changes(frame, 20)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = sorted((r.seq, r.outcome, r.user_status, r.n_live, r.idle) for r in P.idle_users(out, 20).collect())
+    assert got == fold_users(rows, 20)
+    assert len({r[1:] for r in got}) > 8
+    assert P.user_changes(frame.limit(0)).count() == 0
+
+
 def test_heartbeat_steps():
     s = {}
     for t in range(0, 6 * 10_000, 10_000):

@@ -159,3 +159,12 @@ def test_table_store(spark, tmp_path):
     store.replace("acks", store.read("acks").union(spark.createDataFrame([("u", "d", 1, 5)], S.ACKS)))
     store.replace("acks", store.read("acks").withColumn("offset", F.col("offset") + 1))
     assert store.lookup("acks", F.col("eid") == "u").first().offset == 6
+
+
+def test_coordinates_are_numbers(spark):
+    row = lambda lat, lon, share=1: ("i", ("a", "r"), ("b", "s"), 1, 1, share, lat, lon, 1, "", 1, 0)
+    nan = float("nan")
+    rows = spark.createDataFrame([row(1.0, 2.0), row(nan, 2.0), row(1.0, nan), row(None, nan), row(nan, nan, 2)], S.AWARENESS)
+    got = [(r.e.field, r.e.description) if r.e else None for r in rows.select(Z.awareness_error().alias("e")).collect()]
+    odd = ("coordinates", "Latitude and Longitude must be numeric when sharing is enabled")
+    assert got == [None, odd, odd, ("coordinates", "Latitude and Longitude required when sharing is enabled"), None]
