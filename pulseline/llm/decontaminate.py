@@ -3,9 +3,9 @@
 Texts become tokens: words in lower case, and slots, which are numbers, names (any word of a capital and a small letter,
 whatever stands before it) and units (a unit word after a number). A template replaces each slot by its type. Windows of WINDOW
 template tokens are hash-joined with the windows of all benchmark items. Hits on one diagonal (same distance between
-document and item place) are an aligned passage; its slots must be consistent: one value of the item always
-stands for one value of the document, so that a question with other numbers or names is found, while chance
-fillings of a shared template are not. Next to it windows of plain tokens, words and numbers in lower case without slots, are
+document and item place) are an aligned passage; its slots must be consistent: on a diagonal a value of the item stands for one
+value of the document and that for no other value of the item, so that a question with other numbers or names is found, while chance
+fillings of a shared template are not. A window with a slot whose value has two counterparts doesn't count; the others of the passage do. Next to it windows of plain tokens, words and numbers in lower case without slots, are
 joined alike, so a copy word by word counts in any case and layout. A pair is a leak if consistent passages of either kind cover at least
 COVERAGE of the item's template windows, or of its plain ones.
 
@@ -15,13 +15,13 @@ hits on windows with slots alone.
 
 Edge cases: null and empty texts have no windows and never leak; so have items and documents of fewer than WINDOW
 tokens, and template windows with fewer than LITERALS words of their own never count (plain windows always do). A repeated row gives the same pairs once
-per distinct (doc_id, text); a null doc_id gives pairs with a null doc_id. Repeated items each give their pairs. Extra columns
-are not read; an empty table on either side gives an empty result.
+per distinct (doc_id, text); a null doc_id gives pairs with a null doc_id. Repeated items each give their pairs. A text of any length is
+cut into tokens as a whole and its windows are rows. Extra columns are not read; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_key
@@ -100,29 +100,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     rows = _windows(tokens, "doc_pos").select("doc_id", "tkey", "doc_pos", "plain", "window")
     hits = rows.join(F.broadcast(small) if n <= BROADCAST else small, ["window", "plain"]).select("doc_id", "tkey", "doc_pos", "plain", "item", "item_pos", "slotted")
     hits = cut(hits.distinct(), "leak-hits")
-    key = ["doc_id", "tkey", "item", "plain", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")]
-    passages = hits.groupBy(*key).agg(F.collect_set("item_pos").alias("places"))
+    found = hits.filter("not slotted").select("doc_id", "tkey", "item", "plain", F.lit(True).alias("same"), F.col("item_pos").alias("place"))
     if with_slots:
         slotted = hits.filter("slotted")
         want = slotted.groupBy(F.col("doc_id").alias("w_id"), F.col("tkey").alias("w_key")).agg(F.collect_set("doc_pos").alias("at"))
-        found = docs.join(want, F.col("tkey").eqNullSafe(F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("w_id", "w_key", "at", _tokens(F.col("text")).alias("tokens"))
-        values = found.select("w_id", "w_key", F.explode(F.transform("at", lambda p: F.struct(p.alias("p"), _slots(F.col("tokens"), p).alias("own")))).alias("v"))
+        texts = docs.join(want, F.col("tkey").eqNullSafe(F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("w_id", "w_key", "at", _tokens(F.col("text")).alias("tokens"))
+        values = texts.select("w_id", "w_key", F.explode(F.transform("at", lambda p: F.struct(p.alias("p"), _slots(F.col("tokens"), p).alias("own")))).alias("v"))
         values = values.select("w_id", "w_key", F.col("v.p").alias("w_pos"), F.col("v.own").alias("own")).distinct()
         pairs = slotted.join(values, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tkey") == F.col("w_key")) & (F.col("doc_pos") == F.col("w_pos")))
         pairs = pairs.join(known.filter(~F.col("plain")).select(F.col("item").alias("k_item"), F.col("item_pos").alias("k_pos"), "slots"), (F.col("item") == F.col("k_item")) & (F.col("item_pos") == F.col("k_pos")))
-        pairs = pairs.select(*key, F.explode(F.arrays_zip("slots", "own")).alias("s"))
-        # consistent: no value of the item stands for two values of the document on one diagonal
-        each = pairs.groupBy("doc_id", "tkey", "item", "diagonal", F.col("s.slots").alias("value")).agg(F.count_distinct("s.own").alias("n"), F.bool_and(F.col("s.own") == F.col("s.slots")).alias("same"))
-        good = each.groupBy(F.col("doc_id").alias("g_id"), F.col("tkey").alias("g_key"), F.col("item").alias("g_item"), F.col("diagonal").alias("g_diag")).agg(F.max("n").alias("n"), F.bool_and("same").alias("same"))
-        on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tkey") == F.col("g_key")) & (F.col("item") == F.col("g_item")) & (F.col("diagonal") == F.col("g_diag")) & ~F.col("plain")
-        passages = passages.join(good, on, "left").filter("n is null or n = 1").withColumn("same", F.coalesce("same", F.lit(True)))
-    else:
-        passages = passages.withColumn("same", F.lit(True))
-    places = passages.select("doc_id", "tkey", "item", "plain", "same", F.explode("places").alias("place")).groupBy("doc_id", "tkey", "item", "place")
-    places = places.agg(F.bool_or("plain").alias("plain"), F.bool_or(F.col("plain") | F.col("same")).alias("same"))
+        pairs = pairs.select("doc_id", "tkey", "item", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos", F.explode(F.arrays_zip("slots", "own")).alias("s"))
+        pairs = pairs.select("doc_id", "tkey", "item", "diagonal", "item_pos", F.col("s.slots").alias("value"), F.col("s.own").alias("own"))
+        there, back = (Window.partitionBy("doc_id", "tkey", "item", "diagonal", c) for c in ("value", "own"))
+        odd = (F.min("own").over(there) != F.max("own").over(there)) | (F.min("value").over(back) != F.max("value").over(back))
+        judged = pairs.withColumn("odd", odd).groupBy("doc_id", "tkey", "item", "diagonal", "item_pos").agg(F.bool_or("odd").alias("odd"), F.bool_and(F.col("own") == F.col("value")).alias("same"))
+        found = found.union(judged.filter("not odd").select("doc_id", "tkey", "item", F.lit(False).alias("plain"), "same", F.col("item_pos").alias("place")))
+    places = found.groupBy("doc_id", "tkey", "item", "place").agg(F.bool_or(F.col("plain") | F.col("same")).alias("same"))
     typed = known.filter(~F.col("plain")).select(F.col("item").alias("t_item"), F.col("item_pos").alias("t_pos"))
     typed = F.broadcast(typed) if n <= BROADCAST else typed
     places = places.join(typed, (F.col("item") == F.col("t_item")) & (F.col("place") == F.col("t_pos")), "left")
+    # a plain window counts for the template's window at its place too
     covered = places.groupBy("doc_id", "tkey", "item").agg(F.count("t_pos").alias("matched"), F.count("*").alias("all_matched"), F.bool_and("same").alias("verbatim"))
     sizes = known.select("item", "item_id", "n_windows", "n_plain").distinct()
     found = covered.join(F.broadcast(sizes) if n <= BROADCAST else sizes, "item")
