@@ -35,7 +35,7 @@ COVER, STEPS, LEAST = 0.75, 20, 60
 #: COVER over the share of chi-square with seven degrees below the COVER quantile of that with five.
 CONSISTENT = 1.41
 #: A step that moves no log-determinant by more than this is the last.
-SETTLED = 1e-6
+SETTLED = 1e-3
 #: Most units whose estimates (some 200 bytes each) are broadcast; beyond, they are joined.
 BROADCAST = 50_000
 #: Squared distance: far beyond the 1e-6 quantile (36) of chi-square with five degrees, as clean texts have heavy tails.
@@ -126,7 +126,7 @@ def _cholesky(estimates: DataFrame) -> DataFrame:
             floor = FLOOR[STATISTICS[j]] ** 2
             value = F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(_factor(j, j))
             estimates = estimates.withColumn(_factor(i, j), value)
-    return estimates.select("unit", *(_centre(i) for i in range(len(STATISTICS))), *(_factor(i, j) for i, j in PAIRS))
+    return estimates.select("unit", *(_centre(i) for i in range(len(STATISTICS))), *(f"c_{i}_{j}" for i, j in PAIRS), *(_factor(i, j) for i, j in PAIRS))
 
 
 def _beside(rows: DataFrame, by_unit: DataFrame, few: bool) -> DataFrame:
@@ -136,7 +136,7 @@ def _beside(rows: DataFrame, by_unit: DataFrame, few: bool) -> DataFrame:
 
 def _distances(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to the unit's estimate, by forward substitution."""
-    out = _beside(vectors, estimates, few)
+    out = _beside(vectors, estimates.select("unit", *(_centre(i) for i in range(len(STATISTICS))), *(_factor(i, j) for i, j in PAIRS)), few)
     for i, name in enumerate(STATISTICS):
         rest = F.col(name) - F.col(_centre(i))
         for k in range(i):
@@ -152,9 +152,13 @@ def _moments(kept: DataFrame) -> DataFrame:
     return kept.groupBy("unit").agg(*means, *covs)
 
 
-def _floored(estimates: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Covariances times factor, variances with their floor."""
-    return estimates.withColumns({f"c_{i}_{j}": F.col(f"c_{i}_{j}") * factor + (F.lit(FLOOR[STATISTICS[i]] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS})
+def _floor(i: int, j: int) -> Column:
+    return F.lit(FLOOR[STATISTICS[i]] ** 2 if i == j else 0.0)
+
+
+def _floored(estimates: DataFrame) -> DataFrame:
+    """Variances with their floor."""
+    return estimates.withColumns({f"c_{i}_{j}": F.col(f"c_{i}_{j}") + _floor(i, j) for i, j in PAIRS})
 
 
 def _log_det() -> Column:
@@ -193,20 +197,20 @@ def robust_estimates(vectors: DataFrame, few: bool, steps: int = STEPS) -> DataF
     estimates = cut(_cholesky(_starts(vectors, few)), "mcd-start")
     dealt = cut(vectors.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select(_at_start(F.col("k")).alias("unit"), *STATISTICS), "mcd-vectors")
     for _ in range(steps):
-        far = cut(_distances(dealt, estimates, few).select("unit", "d2", *STATISTICS), "mcd-far")
-        limits = cut(far.groupBy("unit").agg(F.percentile_approx("d2", COVER, 1000).alias("limit")), "mcd-limits")
-        found = cut(_moments(_beside(far, limits, few).filter("d2 <= limit")), "mcd-moments")
-        new = cut(_cholesky(_floored(found)), "mcd-step")
+        far = _distances(dealt, estimates, few).select("unit", "d2", *STATISTICS)
+        limits = far.groupBy("unit").agg(F.percentile_approx("d2", COVER, 1000).alias("limit"))
+        new = cut(_cholesky(_floored(_moments(_beside(far, limits, few).filter("d2 <= limit")))), "mcd-step")
         both = new.select("unit", _log_det().alias("now")).join(estimates.select("unit", _log_det().alias("was")), "unit")
         moved = both.filter(F.abs(F.col("now") - F.col("was")) > SETTLED).limit(1).count()
-        for done in (far, limits, estimates):
-            forget(done)
+        forget(estimates)
         estimates = new
         if not moved:
             break
     forget(dealt)
     best = estimates.select("unit", _log_det().alias("log_det")).groupBy(F.substring_index("unit", "\x1e", 1).alias("own")).agg(F.min_by("unit", F.struct("log_det", "unit")).alias("unit"))
-    return cut(_cholesky(_floored(found, CONSISTENT).join(best, "unit").drop("unit").withColumnRenamed("own", "unit")), "mcd-best")
+    best = estimates.join(best, "unit").drop("unit").withColumnRenamed("own", "unit")
+    whole = {f"c_{i}_{j}": (F.col(f"c_{i}_{j}") - _floor(i, j)) * CONSISTENT + _floor(i, j) for i, j in PAIRS}
+    return cut(_cholesky(cut(best.withColumns(whole), "mcd-best")), "mcd-estimates")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry: bool = False) -> DataFrame:

@@ -275,9 +275,9 @@ def test_consistency_factor():
 
 
 def test_quality_verdict_is_the_distance(docs):
-    out = QR.quality_rules(docs, cutoff=4.0).collect()
+    out = QR.quality_rules(docs, cutoff=0.01).collect()
     assert any(not r.kept and not r.base_failed for r in out)
-    assert all(r.kept == (not r.base_failed and r.distance <= 4.0) for r in out)
+    assert all(r.kept == (not r.base_failed and r.distance <= 0.01) for r in out)
 
 
 def test_decontamination(spark, docs, empty):
@@ -316,6 +316,81 @@ def test_decontamination_any_layout(spark, monkeypatch, broadcast):
     assert all(got[(k, 1)].matched == got[(0, 1)].matched for k in (3, 4))
 
 
+def leaks_by_hand(docs, items, coverage):
+    """{(doc_id, item_id): (matched, of, verbatim)} by the definition, pair by pair."""
+    import regex
+
+    def tokens(text):
+        marked = regex.sub(r"(?<![\p{L}\p{M}\p{N}])\p{Lu}(?=\p{Ll})", "\x01\\g<0>", text or "")
+        return regex.findall(r"[0-9]+(?:[.,:/][0-9]+)*|\x01?\p{L}[\p{L}\p{M}\p{N}]*", marked.lower())
+
+    def kinds(t):
+        number = lambda w: w[0] in "0123456789"
+        return ["\x01" if w[0] == "\x01" else "\x02" if number(w) else "\x03" if w in DC.UNITS and i and number(t[i - 1]) else w for i, w in enumerate(t)]
+
+    n, out = DC.WINDOW, {}
+    for i, text in docs:
+        d = tokens(text)
+        dk, dp = kinds(d), [w.lstrip("\x01") for w in d]
+        for j, item in items:
+            t = tokens(item)
+            tk, tp = kinds(t), [w.lstrip("\x01") for w in t]
+            slots = lambda p: [q for q in range(p, p + n) if tk[q] < "\x04"]  # noqa: B023, E731
+            starts = range(len(t) - n + 1)
+            typed = [p for p in starts if n - len(slots(p)) >= DC.LITERALS]
+            good = {}  # place of a window that counts: whether it is word by word the item's
+            for diagonal in range(-len(t), len(d)):
+                own = [p for p in starts if 0 <= p + diagonal <= len(d) - n]
+                hit = [p for p in own if p in typed and tk[p : p + n] == dk[p + diagonal : p + diagonal + n]]
+                pairs = {(t[q], d[q + diagonal]) for p in hit for q in slots(p)}
+                odd = {x for x in pairs if any((x[0] == y[0]) != (x[1] == y[1]) for y in pairs)}
+                for p in hit:
+                    mine = [(t[q], d[q + diagonal]) for q in slots(p)]
+                    if not odd & set(mine):
+                        good[p] = good.get(p, False) or all(x == y for x, y in mine)
+                plain = [p for p in own if tp[p : p + n] == dp[p + diagonal : p + diagonal + n]]
+                good.update(dict.fromkeys(plain, True))
+            same = all(good.values())
+            by_type = [p for p in good if p in typed]
+            if typed and len(by_type) >= coverage * len(typed):
+                out[i, j] = (len(by_type), len(typed), same)
+            elif good and len(good) >= coverage * len(starts):
+                out[i, j] = (len(good), len(starts), same)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_decontamination_by_hand(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(DC, "BROADCAST", broadcast)
+    rng = random.Random(21)
+    words = "has gives takes apples and then many does left of the to days".split()
+    names, odd = ["Ann", "Bob", "Cem", "Dora"], ["kg", "m", "é1"]
+    make = lambda k: " ".join(rng.choice([rng.choice(words)] * 5 + [rng.choice(names), str(rng.randint(1, 4)), f"{rng.randint(1, 4)} {rng.choice(odd)}"]) for _ in range(k))
+    items = [(j, make(rng.randint(5, 30))) for j in range(8)]
+    docs = []
+    for i in range(60):
+        item = rng.choice(items)[1].split()
+        swap = {x: rng.choice([*names, "1", "2", "3", "4", x, x]) for x in set(item) if x[0].isdigit() or x[0].isupper()}
+        body = [swap.get(x, x) if rng.random() < 0.98 else "7" if x[0].isdigit() else x for x in item]
+        a, b = sorted(rng.sample(range(len(body) + 1), 2)) if i % 2 else (0, len(body))
+        docs.append((i, f"{make(4)} {' '.join(body[a:b])} {make(3)}"))
+    docs += [(100, None), (101, ""), (102, "A " * 5000), (103, items[0][1].upper()), (104, items[1][1].replace(" ", " \n"))]
+    out = DC.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), coverage=0.1)
+    got = {(r.doc_id, r.item_id): (r.matched, r.n_windows, r.verbatim) for r in out.collect()}
+    want = leaks_by_hand(docs, items, 0.1)
+    assert got == want
+    assert len(want) > 20
+    assert len({v[2] for v in want.values()}) == 2
+
+
+def test_decontamination_slots_both_ways(spark):
+    item = "anna gives the other people 12 apples and later on 5 pears to them so how many fruits are left over here"
+    docs = [item.replace("12", "7").replace("5", "9"), item.replace("12", "7").replace("5", "7")]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.matched for r in DC.decontaminate(rows, spark.createDataFrame([(1, item)], "item_id long, text string"), coverage=0.1).collect()}
+    assert got[0] > got[1] > 0  # two values of the item in one of the document: their windows don't count, the others do
+
+
 def test_shuffled_benchmark(spark, monkeypatch):
     monkeypatch.setattr(DC, "BROADCAST", 0)
     text = " ".join(f"word{chr(97 + k)}" for k in range(20))
