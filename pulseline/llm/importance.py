@@ -10,7 +10,7 @@ the driver sees.
 
 Edge cases: null and empty texts have no n-grams and log weight 0. Rows that tie exactly with the k-th (repeated
 rows) are all kept. A null doc_id is drawn by its text alone and is never target. Without target rows both models are
-the raw one: all weights are 0 and the sample is uniform. Extra columns are not read. An empty table gives an empty result.
+the raw one: all weights are 0 and the sample is uniform. A text of any length is counted as a whole in linear time. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

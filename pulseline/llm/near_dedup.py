@@ -17,7 +17,7 @@ copies costs its size in rows, not its square.
 Edge cases: null and empty texts, and texts of white space only, have no shingles, are linked with nothing and
 keep their own doc_id. A text of one to four words is one shingle. Repeated rows share a set, so they share a
 component. A null doc_id takes part with its text and never names a component (unless all ids of it are null).
-Only doc_id and text are read, so extra columns don't matter. An empty table gives an empty result.
+Only doc_id and text are read, so extra columns don't matter. A text of any length is one set, held by one task at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations

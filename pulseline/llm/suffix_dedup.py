@@ -20,7 +20,7 @@ digests and their prefix digests are equal.
 
 Edge cases: a null or empty text, and a text shorter than `span`, loses nothing (n_removed 0, n_spans 0) and the
 digest is that of its bytes. Repeated rows are copies, so they lose every byte from `span` bytes on. doc_id is only
-carried along: it may be null or repeated. Extra columns are not read. An empty table gives an empty result.
+carried along: it may be null or repeated. A text of any length is sampled as a whole in linear time. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ higher rank, so this equals merging one pair at a time. Counts of recent chunks
 
 Reads tokenizer files with a BPE model, an end-of-word suffix and a splitting pattern; the path is a parameter.
 
-Edge cases: null and empty texts count 0 bytes and 0 tokens; a text of white space only has 0 tokens. doc_id is only
+Edge cases: null and empty texts count 0 bytes and 0 tokens; a text of white space only has 0 tokens. A text of any length is counted as a whole. doc_id is only
 carried along, so null and repeated ids are fine; extra columns are not read; an empty table gives an empty result.
 """
 

@@ -12,7 +12,7 @@ broadcast to tasks. Every text is scored, as a whole, where it is read; nothing
 
 Edge cases: null and empty texts have zero features and are scored like any other. Without labelled rows of both
 kinds every score is the share of toxic ones (0 if none). A null doc_id is not held out and takes no part in learning.
-Repeated rows are scored alike. Extra columns are not read. An empty table gives an empty result.
+Repeated rows are scored alike. A text of any length is scored as a whole in linear time. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

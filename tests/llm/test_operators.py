@@ -540,6 +540,33 @@ def test_importance(spark, empty):
     assert sum(r.kept for r in IM.importance_sample(docs, labels.limit(0), keep=0.5).collect()) == round(0.5 * 101)
 
 
+def test_importance_weights_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(0, 40)) for _ in range(40)] + [None, "", " \n", "word " * 50_000, "One two"]
+    good = [k % 3 == 0 for k in range(len(texts))]
+    bucket = lambda t: next(IM.ngram_buckets(pa.array([t])))[2].tolist()
+    word = {}
+
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        for x in {*w, *zip(w, w[1:], strict=False)} - set(word):
+            word[x] = bucket(x)[0] if isinstance(x, str) else bucket(" ".join(x))[2]
+        return [word[x] for x in w] + [word[x] for x in zip(w, w[1:], strict=False)]
+
+    own = [grams(t) for t in texts]
+    raw, target = Counter(b for g in own for b in g), Counter(b for g, y in zip(own, good, strict=True) for b in (g if y else ()))
+    batches = [pa.record_batch({"text": pa.array(texts[i : i + 11]), "target": pa.array(good[i : i + 11])}) for i in range(0, len(texts), 11)]
+    counts = next(IM._counts(iter(batches)))
+    assert {b: (n, m) for b, n, m in zip(*(counts.column(c).to_pylist() for c in ("bucket", "raw", "target")), strict=True) if n} == {b: (n, target[b]) for b, n in raw.items()}
+    ratio = np.array([math.log((target[b] + 1) / (sum(target.values()) + IM.BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + IM.BUCKETS)) for b in range(IM.BUCKETS)])
+    out = list(IM._weights(ratio, 9)(iter([pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts), "draw": pa.array([7 * k for k in range(len(texts))])})])))
+    assert [n for b in out for n in b.column("n_grams").to_pylist()] == [len(g) for g in own]
+    assert [w for b in out for w in b.column("log_weight").to_pylist()] == pytest.approx([math.fsum(ratio[g]) if g else 0.0 for g in own], rel=1e-6, abs=1e-9)
+
+
 def test_importance_counts_every_good_row(spark):
     n = 20_500  # "river" is good alone, in more rows than a sample of 20,000 holds
     docs = spark.range(2 * n).selectExpr("id doc_id", f"if(id < {n}, 'river', 'stone') text")
@@ -565,6 +592,25 @@ def test_kth_greatest_of_close_keys(spark):
         assert IM.kth_greatest(keys, k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_toxicity_features_by_hand():
+    import pyarrow as pa
+
+    lexicon = {"w:vorgax": 3.0, "s:blim": 2.0}
+    text = "You VORGAX, not v0rgax! blimfer?! soooo f.i.n.e stone 'vorgax'"
+    flags = [(w.strip("'!?,.").lower(), w) for w in text.split()]
+    n = len(flags)
+    words, stems, hidden = sum(c == "vorgax" for c, _ in flags), sum(c.startswith("blim") for c, _ in flags), 1
+    want = {
+        "n_words": math.log1p(n), "word_hits": words, "stem_hits": stems, "disguised_hits": hidden, "word_density": 100 * words / n, "stem_density": 100 * stems / n, "weight": 3.0 * 3 + 2.0,
+        "weight_density": 100 * 11.0 / n, "distinct_hits": 4, "near_you": 3, "you_density": 100 / n, "capitals": 100 * sum(c.isupper() for c in text) / len(text), "exclaim": 100 * sum(c in "!?" for c in text) / len(text),
+        "punctuation": 100 * sum(not c.isalnum() and c != " " for c in text) / len(text), "disguise_rate": 100 * 2 / n, "stretched_rate": 100 / n,
+    }
+    out = next(TX._features(lexicon, [])(iter([pa.record_batch({"text": pa.array([text, None, "", "vorgax " * 100_000])})])))
+    assert {k: out.column(k)[0].as_py() for k in TX.FEATURES} == pytest.approx(want)
+    assert all(out.column(k)[i].as_py() == 0 for k in TX.FEATURES for i in (1, 2))
+    assert out.column("word_hits")[3].as_py() == 100_000
+
+
 def test_toxicity(spark, empty):
     import zlib
 
@@ -591,6 +637,63 @@ def test_toxicity(spark, empty):
     assert {r.score for r in TX.toxicity(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
+def test_extra_columns_with_names_of_ours(spark):
+    names = "tkey text_key unit rid pieces n_words score kept key window item start doc _k _rest _word _bits draw label prefix root comp place n plain distance held_out".split()
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 40) if k else None, "en", "s", 5, *range(len(names))) for k in range(6)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {c} int" for c in names))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    bench = spark.createDataFrame([(1, rows[2][1], 1, 2)], "item_id long, text string, window int, tokens int")
+    labels = spark.createDataFrame([(k, k % 2, k % 2, 0) for k in range(6)], "doc_id long, quality int, toxic int, l_id int")
+    calls = {
+        "tokens": lambda d: TC.token_counts(d), "rules": lambda d: QR.quality_rules(d).drop("distance"), "leaks": lambda d: DC.decontaminate(d, bench), "near": lambda d: ND.near_duplicates(d).drop("comp"),
+        "toxic": lambda d: TX.toxicity(d, labels), "sample": lambda d: IM.importance_sample(d, labels), "suffix": lambda d: SD.repeated_substrings(d), "rules whole": lambda d: QR.quality_rules(d, carry=True).select("doc.doc_id", "kept"),
+    }
+    for name, call in calls.items():
+        assert sorted(map(str, call(docs).collect())) == sorted(map(str, call(plain).collect())), name
+
+
+def by_stage(name, before, after):
+    """What each stage must do to these rows, beside what its operator's own test shows."""
+    texts = {r.doc_id: r.text for r in before}
+    left = {r.doc_id: r.text for r in after}
+    assert set(left) <= set(texts)
+    if name == "line_dedup":
+        want = {i: t for i, t, _ in by_lines(sorted(texts.items()), LD.LEAST)}
+        assert left == want
+        assert all(r.n_chars == len(r.text) for r in after)
+    else:
+        assert all(left[i] == texts[i] for i in left)
+    if name == "near_dedup":
+        sets = {i: shingles(t) for i, t in texts.items()}
+        root = {i: i for i in sets}
+        ids = sorted(sets)
+        for a in ids:
+            for b in ids:
+                if a < b and sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= 80 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = {i: new if r == old else r for i, r in root.items()}
+        assert set(left) == {i for i in ids if root[i] == i}
+
+
+def test_pipeline_stages_by_hand(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        by_stage(name, before, docs.collect())
+        if name == "quality_rules":
+            verdict = {r.doc_id: r.kept for r in QR.quality_rules(spark.createDataFrame(before, docs.schema)).collect()}
+            assert {r.doc_id for r in docs.collect()} == {i for i, kept in verdict.items() if kept}
+        if name == "decontamination":
+            short = [(r.doc_id, r.text) for r in before if len(r.text) < 4000]
+            leaks = {i for i, _ in leaks_by_hand(short[:40], bench[:40], DC.COVERAGE)}
+            assert not leaks & {r.doc_id for r in docs.collect()}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
