@@ -117,8 +117,19 @@ def revoke(tokens: DataFrame, as_of: Column) -> DataFrame:
     return tokens.filter(F.col("exp") > as_of).select("jti", "exp").groupBy("jti").agg(F.max("exp").alias("exp"))
 
 
-def session_starts(stanzas: DataFrame, gap: int) -> DataFrame:
-    """Sessions of a device: a pause of over `gap` seconds starts a new one. Adds session (from 1)."""
+def session_starts(stanzas: DataFrame, gap: int, closes: Column | None = None) -> DataFrame:
+    """Sessions of a device: a pause of over `gap` seconds, or a stanza that closes the one before (logout, closed socket), starts a new one.
+    Adds session (from 1)."""
     w = Window.partitionBy(*KEY).orderBy("ts", "event_id")
-    new = F.coalesce(seconds_between(F.col("ts"), F.lag("ts").over(w)) > gap, F.lit(True)).cast("long")
-    return stanzas.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    new = F.coalesce(seconds_between(F.col("ts"), F.lag("ts").over(w)) > gap, F.lit(True))
+    if closes is not None:
+        new = new | F.coalesce(F.lag(closes).over(w), F.lit(False))
+    return stanzas.withColumn("_new", new.cast("long")).withColumn("session", F.sum("_new").over(w)).drop("_new")
+
+
+def session_ends(stanzas: DataFrame, gap: int, closes: Column, as_of: Column) -> DataFrame:
+    """(eid, device_id, session, started, ended, ended_by): closed by its last stanza, timeout once `gap` seconds have passed, or open."""
+    rows = session_starts(stanzas, gap, closes).withColumn("_closes", F.coalesce(closes, F.lit(False)))
+    out = rows.groupBy(*KEY, "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.max_by("_closes", F.struct("ts", "event_id")).alias("_closed"))
+    by = F.when(F.col("_closed"), "closed").when(seconds_between(as_of, F.col("ended")) > gap, "timeout").otherwise("open")
+    return out.select(*KEY, "session", "started", "ended", by.alias("ended_by"))

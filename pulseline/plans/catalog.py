@@ -263,6 +263,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("eid", "device_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("stanzas"))
 
 
+@query(_with(V.STANZAS_SQL, CLOCK_SQL, f"""g AS (SELECT *, CASE WHEN coalesce(datediff('second', lag(ts) OVER w, ts) > {STALE} OR lag(status) OVER w = 2, true) THEN 1 ELSE 0 END AS fresh FROM stanzas WINDOW w AS (PARTITION BY eid, device_id ORDER BY ts, event_id))""") + f"""
+SELECT eid, device_id, session, min(ts) AS started, max(ts) AS ended,
+       CASE WHEN max_by(status, (ts, event_id)) = 2 THEN 'closed' WHEN datediff('second', max(ts), max(as_of)) > {STALE} THEN 'timeout' ELSE 'open' END AS ended_by
+FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY eid, device_id ORDER BY ts, event_id) AS BIGINT) AS session FROM g), clock GROUP BY eid, device_id, session""")
+def session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.session_ends(V.stanzas(spark, sf_dir), STALE, F.col("status") == 2, _clock(spark, sf_dir))
+
+
 # ---- codes, buckets, routing ---------------------------------------------------------------------------------------
 
 
