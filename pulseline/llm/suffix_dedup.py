@@ -99,21 +99,30 @@ class SuffixIndexFamily:
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
         self.repeats: list[DataFrame] = []
+        self.written: list[DataFrame] = []  # arrays, scans and levels merged into others
 
     def add(self, batch: DataFrame) -> None:
         """batch(prefix): builds its array, scans it against all levels, then merges levels of equal size."""
         array = batch.groupBy("prefix").agg((F.count("*") > 1).alias("often")).sortWithinPartitions("prefix")
         array = cut(array, "suffix-array")
+        self.written.append(array)
         self.repeats.append(array.filter("often").select("prefix"))
         scans = [array.select("prefix").join(level.select("prefix"), "prefix") for _, level in self.levels]
-        self.repeats += [cut(scan, "suffix-scan") for scan in scans]
+        scans = [cut(scan, "suffix-scan") for scan in scans]
+        self.repeats += scans
+        self.written += scans
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, old = self.levels.pop()
+            self.written.append(old)
             merged = old.union(array).groupBy("prefix").agg(F.max("often").alias("often")).sortWithinPartitions("prefix")
             array, size = cut(merged, "suffix-level"), 2 * size
         self.levels.append((size, array))
 
+    def forget(self) -> None:
+        for written in (*(level for _, level in self.levels), *self.written):
+            forget(written)
+
     def repeated(self) -> DataFrame:
         """The prefixes that start at two places or more."""
         found = self.repeats[0]
@@ -259,6 +268,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     # copies of a text sample the same suffixes: one row for all, with their number
     # tables on the small side of joins: Spark splits a hot key only where both sides come straight from a shuffle
     repeated = cut(family.repeated(), "suffix-repeated")
+    family.forget()
     hits = cut(suffixes.join(repeated, "prefix"), "suffix-hits")
     matched = cut(hits.groupBy("prefix", "context", "tkey", "pos", "back", "ahead").agg(F.count("*").alias("copies")), "suffix-matched")
     forget(hits)
@@ -273,8 +283,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     touched = cut(matched.select("tkey").distinct(), "suffix-touched")
     # other texts are dropped and copies collapse in the tasks that read them, before the shuffle
     own = sieve(rows, touched, "tkey")
-    touched = touched.join(wanted, "tkey", "left")
-    texts = cut(own.groupBy("tkey").agg(F.first("text").alias("text")).join(touched, "tkey"), "suffix-texts")
+    texts = cut(own.groupBy("tkey").agg(F.first("text").alias("text")).join(touched.join(wanted, "tkey", "left"), "tkey"), "suffix-texts")
     bodies = texts.filter("want is not null").select("text", "want").mapInArrow(_contexts(span), "prefix long, context long, back int, ahead int, crowd long, body binary")
     bodies = cut(bodies, "suffix-bodies")
     calm = bodies.filter(F.col("crowd") <= hot).drop("crowd").repartition("prefix").sortWithinPartitions("prefix")
@@ -290,7 +299,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, seed: int = SEED, bat
     spans = spans.groupBy("tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     gone = texts.select("tkey", "text").join(spans, "tkey").mapInArrow(_remove, "tkey binary, n_removed long, removed array<struct<start long, stop long>>, sha string")
     gone = cut(gone, "suffix-removed")
-    for done in (texts, bodies, matched, kinds, suffixes, verdicts):
+    for done in (texts, bodies, matched, kinds, suffixes, verdicts, repeated, several, touched):
         forget(done)
     facts = docs.select("doc_id", "tkey", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("full_sha"))
     out = facts.join(gone, "tkey", "left")
