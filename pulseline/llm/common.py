@@ -80,18 +80,23 @@ def row_key(doc_id: Column, tkey: Column) -> Column:
 SIEVE = 1 << 20
 
 
-def sieve(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows whose column `name` may be among keys(name): all that are, and some others.
+def marked(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """rows with _may: whether column `name` may be among keys(name). It is true for all that are, and for some others.
 
-    Keys set bits of a table of at most SIEVE words, which is broadcast, so most other rows are dropped where they are read and
-    not shuffled. Where there are more keys than bits nearly all rows pass, and the join that follows does the work alone.
+    Keys set bits of a table of at most SIEVE words, which is broadcast, so rows are told apart where they are read and before
+    they are shuffled. Where there are more keys than bits nearly all rows may, and the join that follows does the work alone.
     """
     bit = F.pmod(F.xxhash64(name), F.lit(SIEVE * 64))
     word = F.floor(bit / 64)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     words = cut(keys.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "sieve")
-    held = rows.join(F.broadcast(words), word == F.col("_word"))
-    return held.filter(F.col("_bits").bitwiseAND(one) != 0).drop("_word", "_bits")
+    held = rows.join(F.broadcast(words), word == F.col("_word"), "left")
+    return held.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def sieve(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose column `name` may be among keys(name)."""
+    return marked(rows, keys, name).filter("_may").drop("_may")
 
 
 def _toward_least(edges: DataFrame) -> DataFrame:

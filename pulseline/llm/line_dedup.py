@@ -9,7 +9,7 @@ passage is found inside lines too, but for its first and last unit where these a
 what goes are those of the input text, in code points.
 
 Digests are grouped with a map-side minimum, so a unit in a third of all documents is one row a task before the shuffle.
-Units are joined with the digests that occur twice; the digests of over 1 / HOT of all units, of which there are at most HOT, are
+Units whose digest may occur twice, by a bounded table of bits, are joined with the digests that do; the digests of over 1 / HOT of all units, of which there are at most HOT, are
 joined by broadcast, so that no task gets all rows of a frequent one.
 
 Edge cases: a null text stays null, an empty one empty; a text whose units all go becomes empty, its row stays.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, packed, schema_of, table, unpacked
+from .common import cut, forget, marked, packed, schema_of, sieve, table, unpacked
 
 LEAST, HOT = 20, 2_000
 LAST = (1 << 63) - 1
@@ -102,17 +102,23 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rows = packed(docs, ["doc_id", "text"], "_u_rest").select("*", F.monotonically_increasing_id().alias("_u_row"), rank, F.xxhash64("text").alias("_u_text"))
     rows = cut(rows, "line-rows")
     own = cut(rows.select("text", "_u_row", "_u_id", "_u_text").mapInArrow(_hashed, "_u_row long, _u_id long, _u_text long, place int, digest binary"), "line-units")
-    first = own.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_u_id", "_u_text", "_u_row", "place")).alias("first")).filter("n > 1")
+    # most digests occur once: these are dropped where they are read
+    twice = cut(own.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "line-twice")
+    few = sieve(own.select("digest", "_u_row", "_u_id", "_u_text", "place"), twice, "digest")
+    first = few.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_u_id", "_u_text", "_u_row", "place")).alias("first")).filter("n > 1")
     first = cut(first.select("digest", "n", "first._u_row", "first.place").withColumnsRenamed({"_u_row": "f_row", "place": "f_place"}), "line-first")
     often = own.count() / HOT
-    rare = own.join(first.filter(F.col("n") <= often), "digest")
-    hot = own.join(F.broadcast(first.filter(F.col("n") > often)), "digest")
+    rare = few.join(first.filter(F.col("n") <= often), "digest")
+    hot = few.join(F.broadcast(first.filter(F.col("n") > often)), "digest")
     again = rare.union(hot).filter((F.col("_u_row") != F.col("f_row")) | (F.col("place") != F.col("f_place")))
-    again = again.groupBy("_u_row").agg(F.collect_list("place").alias("_u_again"))
-    full = rows.drop("_u_id", "_u_text").join(again, "_u_row", "left").drop("_u_row")
+    again = cut(again.groupBy("_u_row").agg(F.collect_list("place").alias("_u_again")), "line-again")
+    # texts without a repeat stay where they are
+    split = marked(rows.drop("_u_id", "_u_text"), again.select("_u_row"), "_u_row")
+    full = split.filter("_may").join(again, "_u_row", "left").drop("_u_row", "_may")
+    full = full.unionByName(split.filter("not _may").drop("_u_row", "_may"), allowMissingColumns=True)
     kinds = schema_of(full, ["doc_id", "_u_rest"], "text string, n_units long, n_removed long, removed_chars long, removed_spans string")
     out = cut(full.mapInArrow(_rebuild(least), kinds), "line-kept")
-    for done in (rows, own, first):
+    for done in (rows, own, twice, first, again):
         forget(done)
     return out.select("doc_id", "text", *RESULTS, *unpacked("_u_rest", extra, ["doc_id", "text", *RESULTS]))
 
