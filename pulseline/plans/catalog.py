@@ -522,7 +522,7 @@ UNION ALL SELECT eid, 0, 'new ' || count(*) FROM stanzas GROUP BY eid""")
 def subscriber_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of users with stanzas added again, and one of a new subscriber for each of them."""
     edges, users = V.edges(spark, sf_dir), V.stanzas(spark, sf_dir).groupBy(F.col("eid").alias("owner_id")).agg(F.concat(F.lit("new "), F.count("*")).alias("status"))
-    new = edges.join(users, "owner_id").unionByName(users.select("owner_id", F.lit(0).cast(edges.schema["subscriber_id"].dataType).alias("subscriber_id"), "status"))
+    new = V.edges(spark, sf_dir, ("owner_id",)).join(users, "owner_id").unionByName(users.select("owner_id", F.lit(0).cast(edges.schema["subscriber_id"].dataType).alias("subscriber_id"), "status"))
     return D.add_subscribers(edges.withColumn("status", F.lit("old")), new)
 
 

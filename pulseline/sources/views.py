@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,24 @@ STANZAS_SQL = """stanzas AS (
   FROM events)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(owner_id, subscriber_id): customers follow the suppliers that they have ordered from; no more rows than order lines."""
-    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("owner_id"), F.col("l_suppkey").alias("subscriber_id")).distinct()
+#: Orders and order lines for each partition of edges().
+LINES = 500_000
+
+
+def edge_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for edges(), from the row counts that Parquet keeps: tasks hold LINES rows each on average, of tables of any size.
+    Left to itself Spark deals by compressed size, and tens of millions of keys can share a partition."""
+    return max(1, math.ceil(sum(table(spark, sf_dir, t).count() for t in ("orders", "lineitem")) / LINES))
+
+
+def edges(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("owner_id", "subscriber_id")) -> DataFrame:
+    """(owner_id, subscriber_id): customers follow the suppliers that they have ordered from; no more rows than order lines.
+
+    Rows are dealt by the columns `by`, so that a join or an aggregate on these needs no shuffle of its own."""
+    n = edge_parts(spark, sf_dir)
+    o, i = table(spark, sf_dir, "orders").repartition(n, "o_orderkey"), table(spark, sf_dir, "lineitem").repartition(n, "l_orderkey")
+    pairs = o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("owner_id"), F.col("l_suppkey").alias("subscriber_id"))
+    return pairs.repartition(n, *by).distinct()
 
 
 EDGES_SQL = """edges AS (

@@ -10,6 +10,7 @@ from pulseline.functions import stanzas as Z
 from pulseline.operators import devices as D
 from pulseline.operators import fanout
 from pulseline.operators import log as L
+from pulseline.sources import views as V
 from pulseline.sources.table_store import TableStore
 
 T = datetime(2025, 1, 1, 12)
@@ -75,6 +76,14 @@ def test_fanout(spark):
     assert fanout.ping_refresh_receivers(fanout.ping_refreshes(events.limit(1)), edges).count() == 2
 
 
+def test_edges_are_dealt_by_rows(spark, sf_dir, monkeypatch):
+    """No partition of edges holds many times the rows meant for it, however small the rows are once compressed."""
+    monkeypatch.setattr(V, "LINES", 300)
+    for by in (("owner_id", "subscriber_id"), ("owner_id",)):
+        sizes = [r["count"] for r in V.edges(spark, sf_dir, by).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) > 15 and sum(sizes) == V.edges(spark, sf_dir).count() and max(sizes) < 1500
+
+
 def awareness(spark, **change):
     me = {"eid": "a", "connection_resource_id": "r"}
     row = {"id": "1", "from": me, "to": me, "type": 1, "status": 1, "location_sharing": 2, "latitude": None, "longitude": None, "ttl": 5, "details": None, "timestamp": 1, "node": None} | change
