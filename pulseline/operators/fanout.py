@@ -15,7 +15,16 @@ def group(events: DataFrame, edges: DataFrame, users: DataFrame | None = None) -
 
     A plain equi-join on the sender: Spark broadcasts the edges where they are small and splits hot senders.
     """
-    sent = events.filter(send_route(F.col("status")) == "group")
+    return _to_owners(events.filter(send_route(F.col("status")) == "group"), edges, users)
+
+
+def group_counts(events: DataFrame, edges: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """(receiver, events, first_event) of group(): events are counted by sender before they meet its owners, so no row is made for each pair."""
+    sent = events.filter(send_route(F.col("status")) == "group").groupBy("eid").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    return _to_owners(sent, edges, users).groupBy("receiver").agg(F.sum("n").alias("events"), F.min("first").alias("first_event"))
+
+
+def _to_owners(sent: DataFrame, edges: DataFrame, users: DataFrame | None) -> DataFrame:
     out = sent.join(edges.select(F.col("subscriber_id").alias("eid"), "owner_id"), "eid").withColumnRenamed("owner_id", "receiver")
     return out if users is None else out.join(users.select(F.col("eid").alias("receiver")), "receiver", "left_semi")
 

@@ -467,8 +467,7 @@ PEER_SQL = "routed AS (SELECT eid AS sender, event_id, status, (eid * 7 + event_
 
 @query(_with(V.STANZAS_SQL, V.EDGES_SQL, USERS_SQL, GROUP_SQL) + " SELECT receiver, count(*) AS events, min(event_id) AS first_event FROM routed SEMI JOIN users ON receiver = eid GROUP BY receiver")
 def fanout_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fanout.group(_events(spark, sf_dir), V.edges(spark, sf_dir), _users(spark, sf_dir))
-    return out.groupBy("receiver").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+    return fanout.group_counts(_events(spark, sf_dir), V.edges(spark, sf_dir), _users(spark, sf_dir))
 
 
 @query(_with(V.STANZAS_SQL, USERS_SQL, PEER_SQL) + " SELECT sender AS eid, receiver, event_id, status FROM routed SEMI JOIN users ON receiver = eid")

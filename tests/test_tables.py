@@ -76,6 +76,16 @@ def test_fanout(spark):
     assert fanout.ping_refresh_receivers(fanout.ping_refreshes(events.limit(1)), edges).count() == 2
 
 
+def test_fanout_counts_of_a_hot_sender(spark):
+    """group_counts() is group() counted by receiver, and joins one row for each sender."""
+    edges = spark.createDataFrame([(o, s) for o in range(30) for s in range(3)] + [(None, 1), (5, None)], "owner_id long, subscriber_id long")
+    events = spark.createDataFrame([(0 if k % 3 else k % 5, k, k % 8) for k in range(3000)] + [(None, 1, 1)], "eid long, event_id long, status int")
+    users = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "eid long")
+    for known in (None, users):
+        want = fanout.group(events, edges, known).groupBy("receiver").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+        assert sorted(map(str, fanout.group_counts(events, edges, known).collect())) == sorted(map(str, want.collect()))
+
+
 def test_edges_are_dealt_by_rows(spark, sf_dir, monkeypatch):
     """No partition of edges holds many times the rows meant for it, however small the rows are once compressed."""
     monkeypatch.setattr(V, "LINES", 300)
