@@ -45,9 +45,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of lines and sentences that stand in an earlier one, or earlier in the same; n_chars is counted anew."""
-    out = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_whole")))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return out.select(*(new.get(c, F.col("_whole")[c].alias(c)) for c in docs.columns))
+    carried = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = dedup_lines(docs.select("doc_id", "text", (F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(0)).alias("_rest")))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
+    return out.select(*(new.get(c, F.col("_rest")[c].alias(c)) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

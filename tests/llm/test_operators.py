@@ -694,6 +694,22 @@ def test_pipeline_stages_by_hand(spark, sf_dir):
             assert not leaks & {r.doc_id for r in docs.collect()}
 
 
+def test_line_stage_carries_a_text_once(spark, monkeypatch):
+    """The text of a row is not also among the columns that are carried beside it; these come back whole, in order."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{k}" for k in range(30)) + ". "
+    docs = spark.createDataFrame([(1, long + "own one", "en", "s", 9, 5), (2, long + "own two", None, "t", 9, 6), (None, None, "de", None, 0, 7)], DOCS + ", n_units int")
+    seen = []
+    monkeypatch.setattr(P, "dedup_lines", lambda d, f=P.dedup_lines: seen.append(d) or f(d))
+    for known in (docs, docs.select("doc_id", "text", "n_chars")):
+        out = P.drop_repeated_lines(spark, known, None)
+        assert out.columns == known.columns and out.schema["n_chars"] == known.schema["n_chars"]
+        want = {1: (1, long + "own one", "en", "s", len(long) + 7, 5), 2: (2, "own two", None, "t", 7, 6), None: (None, None, "de", None, None, 7)}
+        assert {r.doc_id: tuple(r) for r in out.collect()} == {k: tuple(v[docs.columns.index(c)] for c in known.columns) for k, v in want.items()}
+        assert str(seen[-1].schema).count("'text'") == 1
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
