@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
-from .common import cut, table
+from .common import cut, marked, table
 
 BUCKETS, KEEP, SEED = 1 << 14, 0.85, 9
 U = np.uint64
@@ -87,11 +87,17 @@ def kth_greatest(keys: DataFrame, k: int, ranges: int = 4096) -> int:
     return low
 
 
+def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, target) for each row of docs: whether it is labelled good. Texts that a table of bits rules out stay where they are read; only the others are shuffled."""
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("g_id")).distinct()
+    split = marked(docs.select(F.col("doc_id").cast("long").alias("g_id"), "text"), good, "g_id")
+    asked = split.filter("_may").join(good.withColumn("target", F.lit(True)), "g_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return asked.union(split.filter("not _may").select("text", F.lit(False).alias("target")))
+
+
 def importance_sample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """(doc_id, n_grams, log_weight, kept) for each row of docs(doc_id, text)."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("g_id")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("g_id"), "left").select("text", F.col("g_id").isNotNull().alias("target"))
-    counts = marked.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    counts = with_target(docs, labels).mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts:
         raw[r["bucket"]] += r["raw"]

@@ -577,6 +577,17 @@ def test_importance_counts_every_good_row(spark):
     assert weight[False] == pytest.approx(math.log(1 / total(n)) - math.log((n + 1) / total(2 * n)), abs=1e-9)
 
 
+def test_importance_shuffles_good_texts_alone(spark, monkeypatch):
+    """Rows without a good label meet no join; ids of either integer type, null, repeated and without a label count once a row."""
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(2000)] + [(3, "again"), (None, "none")], "doc_id int, text string").repartition(3)
+    labels = spark.createDataFrame([(k % 500, int(k % 100 < 3), 0) for k in range(1000)] + [(None, 1, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(IM, "marked", lambda rows, keys, name, f=IM.marked: seen.append(f(rows, keys, name)) or seen[-1])
+    got = Counter((r.text, r.target) for r in IM.with_target(docs, labels).collect())
+    assert got == Counter((r.text, r.doc_id is not None and r.doc_id < 500 and r.doc_id % 100 < 3) for r in docs.collect())
+    assert seen[0].filter("_may").count() < 30
+
+
 def test_kth_greatest(spark):
     rng = random.Random(0)
     values = [rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(500)] + [7] * 20 + [-(1 << 63), (1 << 63) - 1]
