@@ -744,3 +744,24 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 102), (101, 103), (200, 200)]
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 104)} | {200: 200}
+
+
+@pytest.mark.parametrize(("small", "pack", "most"), [(1 << 17, 1 << 16, 1), (0, 20, 3)])
+def test_components_of_a_small_graph_take_few_tasks(spark, monkeypatch, small, pack, most):
+    from pulseline.llm import common
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 102), (101, 103), (200, 200)]
+    files, written = [], common.cut
+    monkeypatch.setattr(common, "SMALL", small)
+    monkeypatch.setattr(common, "PACK", pack)
+    monkeypatch.setattr(common, "cut", lambda df, tag: (files.append(len((out := written(df, tag)).inputFiles())), out)[1])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.v: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 104)} | {200: 200}
+    assert max(files) <= most
